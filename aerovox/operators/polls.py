@@ -40,11 +40,9 @@ def parse_polls(lines: DataFrame) -> DataFrame:
 
 def decode_polls(lines: DataFrame) -> DataFrame:
     """One row per state: ``time`` and the raw ``state``. Unreadable or empty polls give none."""
-    return (
-        parse_polls(lines)
-        .where(F.col("poll.time").isNotNull())
-        .select(F.col("poll.time").alias("time"), F.explode("poll.states").alias("state"))
-    )
+    # One expression and no filter before the explode, or Spark would parse each line twice.
+    states = F.when(F.col("poll.time").isNotNull(), F.col("poll.states"))
+    return parse_polls(lines).select(F.col("poll.time").alias("time"), F.explode(states).alias("state"))
 
 
 def rejected_polls(lines: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from aerovox.functions import word_count
-from aerovox.schemas import UTTERANCE
+from aerovox.schemas import UTTERANCE, UTTERANCE_RAW
 
 # What stands in for a missing key.
 DEFAULTS = {
@@ -32,6 +33,31 @@ PAUSE_SECONDS = 0.5
 BLOCK_IDS = 1 << 16
 
 
+_CORRUPT = "_corrupt"
+
+
+def _parse(lines: DataFrame) -> DataFrame:
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    layout = T.StructType([*UTTERANCE_RAW.fields, T.StructField(_CORRUPT, T.StringType())])
+    return lines.select("value", F.from_json("value", layout, options).alias("said"))
+
+
+def parse_utterances(lines: DataFrame) -> DataFrame:
+    """``value`` text lines -> utterances as landed; lines that are no JSON object give none."""
+    return (
+        _parse(lines)
+        .where(F.col("said").isNotNull() & F.col(f"said.{_CORRUPT}").isNull())
+        .select(*[F.col(f"said.{c}") for c in UTTERANCE_RAW.names])
+    )
+
+
+def rejected_utterances(lines: DataFrame) -> DataFrame:
+    """The lines that ``parse_utterances`` leaves out."""
+    return (
+        _parse(lines).where(F.col("said").isNull() | F.col(f"said.{_CORRUPT}").isNotNull()).select("value")
+    )
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Landed utterances with every default filled in; unreadable times become the present."""
     filled = {name: F.coalesce(F.col(name), F.lit(value)) for name, value in DEFAULTS.items()}

@@ -1,0 +1,86 @@
+"""Lines of many files, cut into byte ranges that executors read on their own."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+from pyarrow import fs
+from pyspark.sql.datasource import InputPartition
+
+READ_BYTES = 1 << 20
+
+
+@dataclass
+class Piece:
+    path: str
+    start: int
+    end: int
+
+
+@dataclass
+class LinePartition(InputPartition):
+    pieces: list[Piece]
+
+
+def landed_files(folder: str) -> list[fs.FileInfo]:
+    """Files of a folder by name, without hidden and marker files."""
+    system, root = _open(folder)
+    infos = system.get_file_info(fs.FileSelector(root))
+    files = [i for i in infos if i.type == fs.FileType.File and i.base_name[0] not in "._" and i.size]
+    return sorted(files, key=lambda i: i.base_name)
+
+
+def cut(files: Sequence[fs.FileInfo], target_bytes: int) -> list[LinePartition]:
+    """Partitions of about ``target_bytes``: large files are cut, small ones put together."""
+    partitions: list[LinePartition] = []
+    pieces: list[Piece] = []
+    room = target_bytes
+    for info in files:
+        start = 0
+        while start < info.size:
+            end = min(info.size, start + room)
+            pieces.append(Piece(info.path, start, end))
+            room -= end - start
+            start = end
+            if room == 0:
+                partitions.append(LinePartition(pieces))
+                pieces, room = [], target_bytes
+    if pieces:
+        partitions.append(LinePartition(pieces))
+    return partitions
+
+
+def read_pieces(folder: str, partition: LinePartition) -> Iterator[bytes]:
+    """Lines that start inside the partition's ranges, each read to its end."""
+    system, _ = _open(folder)
+    for piece in partition.pieces:
+        with system.open_input_file(piece.path) as file:
+            yield from _lines(file, piece)
+
+
+def _lines(file, piece: Piece) -> Iterator[bytes]:
+    # A line belongs to the range its first byte is in, so look one byte back for its break.
+    at = max(piece.start - 1, 0)
+    file.seek(at)
+    rest = b""
+    skipping = piece.start > 0
+    while block := file.read(READ_BYTES):
+        parts = (rest + block).split(b"\n")
+        rest = parts.pop()
+        for line in parts:
+            if skipping:
+                skipping = False
+            elif at < piece.end:
+                yield line
+            else:
+                return
+            at += len(line) + 1
+        if at >= piece.end:
+            return
+    if rest and not skipping and at < piece.end:
+        yield rest
+
+
+def _open(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder)
