@@ -19,12 +19,19 @@ TRANSCRIPT_TABLE = "ingest_transcripts"
 
 @dataclass(frozen=True)
 class View:
-    """A stored query. Tables keep no order, so readers sort by ``order``."""
+    """A query to store. A table keeps no order, so whoever reads it sorts by ``order``."""
 
     source: str
     query: Callable[[DataFrame], DataFrame]
     order: Callable[[], list[Column]] = list
 
+    def sort(self, rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*self.order()) if self.order() else rows
+
+    def live(self, source_rows: DataFrame) -> DataFrame:
+        """The view computed on the spot and sorted."""
+        return self.sort(self.query(source_rows))
+
 
 VIEWS = {
     "flight_stats": View(FLIGHT_TABLE, flight_stats),
@@ -46,9 +53,7 @@ def refresh_view(spark: SparkSession, database: str, name: str) -> DataFrame:
 
 
 def read_view(spark: SparkSession, database: str, name: str) -> DataFrame:
-    order = VIEWS[name].order()
-    rows = spark.table(f"{database}.{name}")
-    return rows.orderBy(*order) if order else rows
+    return VIEWS[name].sort(spark.table(f"{database}.{name}"))
 
 
 def _refresh(spark: SparkSession, database: str, ingest, source: str, landing: str, state: str, **options) -> None:

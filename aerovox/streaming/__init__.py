@@ -1,8 +1,16 @@
 from aerovox.streaming.incremental import IncrementalFlightStats
-from aerovox.streaming.ingest import append_stream, finish, ingest_flights, ingest_transcripts, resume_point
+from aerovox.streaming.ingest import (
+    QUALITY_METRICS,
+    append_stream,
+    finish,
+    ingest_flights,
+    ingest_transcripts,
+    resume_point,
+)
 from aerovox.streaming.summary import observed_breaches, stream_summary
 
 __all__ = [
+    "QUALITY_METRICS",
     "IncrementalFlightStats",
     "append_stream",
     "finish",

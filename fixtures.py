@@ -121,8 +121,11 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flight_events(spark, sf_dir).drop("event_id")
 
 
-def poll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw poll lines: one per hour and run of ``POLL_STATES`` event ids, so a busy hour splits."""
+def poll_lines(spark: SparkSession, sf_dir: str, spoiled: dict[str, F.Column] | None = None) -> DataFrame:
+    """Raw poll lines: one per hour and run of ``POLL_STATES`` event ids, so a busy hour splits.
+
+    ``spoiled`` replaces the JSON text of some columns by an expression over ``event_id``.
+    """
 
     def number(name: str) -> F.Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("null"))
@@ -133,21 +136,22 @@ def poll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def epoch(name: str) -> F.Column:
         return F.coalesce(F.unix_timestamp(name).cast("string"), F.lit("null"))
 
-    state = F.concat_ws(
-        ",",
-        text("icao24"),
-        text("callsign"),
-        text("origin_country"),
-        epoch("time_position"),
-        epoch("last_contact"),
-        *[number(c) for c in ("longitude", "latitude", "geo_altitude", "on_ground", "velocity")],
-        *[number(c) for c in ("true_track", "vertical_rate")],
-        F.coalesce(F.to_json("sensors"), F.lit("null")),
-        number("baro_altitude"),
-        text("squawk"),
-        number("spi"),
-        number("category"),
-    )
+    fields = {
+        "icao24": text("icao24"),
+        "callsign": text("callsign"),
+        "origin_country": text("origin_country"),
+        "time_position": epoch("time_position"),
+        "last_contact": epoch("last_contact"),
+        **{c: number(c) for c in ("longitude", "latitude", "geo_altitude", "on_ground", "velocity")},
+        **{c: number(c) for c in ("true_track", "vertical_rate")},
+        "sensors": F.coalesce(F.to_json("sensors"), F.lit("null")),
+        "baro_altitude": number("baro_altitude"),
+        "squawk": text("squawk"),
+        "spi": number("spi"),
+        "category": number("category"),
+        **(spoiled or {}),
+    }
+    state = F.concat_ws(",", *fields.values())
     return (
         flight_events(spark, sf_dir)
         .select(
