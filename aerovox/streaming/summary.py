@@ -13,8 +13,9 @@ KEPT_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 def _progress(query: StreamingQuery, spark) -> list:
     progress = query.recentProgress
     kept = int(spark.conf.get(KEPT_PROGRESS, "100"))
-    if len(progress) >= kept:
-        raise ValueError(f"the stream kept only its last {kept} reports; raise {KEPT_PROGRESS} to cover its run")
+    # Spark drops the oldest report as soon as it has as many as it may keep.
+    if len(progress) >= kept - 1:
+        raise ValueError(f"the stream may have dropped its first reports; raise {KEPT_PROGRESS} above {kept}")
     return progress
 
 

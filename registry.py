@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -679,7 +680,9 @@ def _(spark, sf_dir):
 
 @query("flight_stats_incremental", f"{_FLIGHT_STATS} WHERE {_POSITIONED}")
 def _(spark, sf_dir):
-    lines = sources.read_line_stream(spark, _landed_polls(spark, sf_dir), max_files_per_trigger=2)
+    landing = _landed_polls(spark, sf_dir)
+    quarter = math.ceil(len(spark.read.text(landing).inputFiles()) / 4)
+    lines = sources.read_line_stream(spark, landing, max_files_per_trigger=quarter)
     kept = streaming.IncrementalFlightStats(scratch_path(spark, "flight-stats"), merge_every=3)
     streaming.finish(kept.start(polls.flights_from_polls(lines), scratch_path(spark, "checkpoint")))
     return kept.current(spark)
