@@ -31,7 +31,8 @@ def loose_boolean(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     text = loose_text(value)
     return (
-        F.when(kind == "STRING", text != "")
+        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", text != "")
         .when(kind.startswith("ARRAY"), text != "[]")
         .when(kind.startswith("OBJECT"), text != "{}")
         .otherwise(F.try_variant_get(value, "$", "boolean"))

@@ -105,7 +105,7 @@ def running_totals(flights: DataFrame) -> DataFrame:
     """
     counts = flights.groupBy("time_ingest").agg(F.count("*").alias("flights"))
     polls = store(counts.withColumn("updates", F.lit(1)), "polls")
-    before = totals_before(polls, "time_ingest", ["updates", "flights"], whole_seconds=True)
+    before = totals_before(polls, polls.count(), "time_ingest", ["updates", "flights"], whole_seconds=True)
     return before.select(
         "time_ingest",
         (F.col("updates_before") + 1).alias("update_number"),

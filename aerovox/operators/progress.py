@@ -35,7 +35,14 @@ def chunk_progress(utterances: DataFrame, chunk_size: int = 100, total_utterance
     """
     _check(chunk_size, total_utterances)
     times = store(utterances.groupBy("timestamp").agg(F.count("*").alias("n")), "times")
-    whole = times.agg(F.sum("n").alias("n"), F.min("timestamp").alias("begin")).first()
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    whole = times.agg(
+        F.count("*").alias("times"),
+        F.sum("n").alias("n"),
+        F.min("timestamp").alias("begin"),
+        F.bool_and(micros % 1_000_000 == 0).alias("whole_seconds"),
+    ).first()
+    counted = totals_before(times, whole.times, "timestamp", ["n"], bool(whole.whole_seconds))
     everything = min(whole.n or 0, total_utterances or whole.n or 0)
     before, upto = F.col("n_before"), F.least(F.col("n_before") + F.col("n"), F.lit(everything))
     # A time closes every chunk that ends among its own utterances, and the last one, if short.
@@ -44,12 +51,7 @@ def chunk_progress(utterances: DataFrame, chunk_size: int = 100, total_utterance
     chunk, sent = F.col("chunk_number"), F.col("total_sent")
     elapsed = _epoch(F.col("timestamp")) - _epoch(F.lit(whole.begin))
     return (
-        unfold(
-            totals_before(times, "timestamp", ["n"]).where(before < everything),
-            F.floor(before / chunk_size) + 1,
-            closed,
-            "chunk_number",
-        )
+        unfold(counted.where(before < everything), F.floor(before / chunk_size) + 1, closed, "chunk_number")
         .withColumn("total_sent", F.least(chunk * chunk_size, F.lit(everything)))
         .select(
             "chunk_number",

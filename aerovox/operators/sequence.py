@@ -7,6 +7,7 @@ rows in a total order, built from a range-partitioned sort that is written once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +22,8 @@ from aerovox.session import store
 # A page that ends this early is a top-k; the k rows also bound what the driver receives.
 SHALLOW_ROWS = 10_000
 
-# So many rows of two or three numbers sort in one task without trouble.
-SMALL_ROWS = 1 << 17
+# So many rows of two or three numbers, some tens of megabytes, sort in one task without trouble.
+SMALL_ROWS = 1 << 20
 
 # Longest list of numbers that one row unfolds into at a time.
 UNFOLD = 1 << 20
@@ -34,16 +35,16 @@ def _earlier(df: DataFrame, order: str, measures: list[str], suffix: str, *withi
 
 
 def totals_before(
-    per_time: DataFrame, time: str, measures: list[str], whole_seconds: bool = False, small: int = SMALL_ROWS
+    per_time: DataFrame, rows: int, time: str, measures: list[str], whole_seconds: bool = False
 ) -> DataFrame:
     """Adds ``<measure>_before``, the sum of each measure over all strictly earlier times.
 
-    ``per_time`` has one row per ``time`` and is read at each level, so store it first. Sums run over the times of a second, the seconds
-    of a day, and the days, so no window is larger than 10^6, 86,400 or the days on record.
-    With ``whole_seconds`` the first of these levels is not needed, and up to ``small`` times
-    need no levels at all.
+    ``per_time`` has one row per ``time``, ``rows`` in all, and is read at each level, so
+    store it first. Up to ``SMALL_ROWS`` it needs no levels. Beyond, sums run over the times
+    of a second, the seconds of a day, and the days, so no window is larger than 10^6,
+    86,400 or the days on record. With ``whole_seconds`` the first level is not needed.
     """
-    if per_time.count() <= small:
+    if rows <= SMALL_ROWS:
         return _earlier(per_time, time, measures, "before")
 
     def sums(df: DataFrame, *keys: str) -> DataFrame:
@@ -92,12 +93,20 @@ def _running_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, end], names=[*batch.schema.names, "_end"])
 
 
+class Range(NamedTuple):
+    """A sorted part of a numbered table and the number of rows in and before it."""
+
+    part: int
+    rows: int
+    before: int
+
+
 class Numbered:
     """A table with the position of each row in a total order, written once, paged often.
 
     Equal rows are stored once with their number of ``copies``; ``position`` is that of the
-    first copy, counted from 1. The table has a folder per sorted range, and only the
-    ranges that a page touches are read.
+    first copy, counted from 1. The table has a folder per sorted range, and a page reads
+    only the ranges, and in them only the row groups, that it touches.
     """
 
     def __init__(self, df: DataFrame, order: list[str]):
@@ -111,32 +120,38 @@ class Numbered:
             .withColumn("_range", F.spark_partition_id())
         )
         schema = T.StructType([*ranges.schema.fields, T.StructField("_end", T.LongType())])
-        stored = store(ranges.mapInArrow(_running_copies, schema), "numbered", "_range")
-        self._stored = stored
-        # One row per range of the sort, at most spark.sql.shuffle.partitions of them.
-        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        self._ranges = (
-            stored.groupBy("_range")
-            .agg(F.max("_end").alias("_rows"))
-            .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        self._stored = store(ranges.mapInArrow(_running_copies, schema), "numbered", "_range")
+        # One row per range of the sort: at most spark.sql.shuffle.partitions of them.
+        sizes = self._stored.groupBy("_range").agg(F.max("_end").alias("rows")).collect()
+        self._ranges: list[Range] = []
+        before = 0
+        for part, rows in sorted(sizes):
+            self._ranges.append(Range(part, rows, before))
+            before += rows
+
+    def _positioned(self, stored: DataFrame, ranges: list[Range]) -> DataFrame:
+        offsets = stored.sparkSession.createDataFrame(
+            [(r.part, r.before) for r in ranges], "_range int, _before long"
         )
-
-    def _positioned(self, ranges: DataFrame) -> DataFrame:
         return (
-            self._stored.join(F.broadcast(ranges), "_range")
+            stored.join(F.broadcast(offsets), "_range")
             .withColumn("position", F.col("_before") + F.col("_end") - F.col("copies") + 1)
             .select(*self.columns, "copies", "position")
         )
 
     @property
     def rows(self) -> DataFrame:
-        return self._positioned(self._ranges)
+        return self._positioned(self._stored, self._ranges)
 
     def page(self, start: int, limit: int) -> DataFrame:
         """Rows ``start + 1`` to ``start + limit``, in order."""
         first, last = start + 1, start + limit
-        touched = self._ranges.where((F.col("_before") < last) & (F.col("_before") + F.col("_rows") >= first))
-        hits = self._positioned(touched).withColumns(
+        touched = [r for r in self._ranges if r.before < last and r.before + r.rows >= first]
+        # A range holds at least one row, so a page touches no more ranges than it has rows.
+        stored = self._stored.where(F.col("_range").isin([r.part for r in touched]))
+        if touched:
+            stored = stored.where(F.col("_end") >= first - touched[-1].before)
+        hits = self._positioned(stored, touched).withColumns(
             {
                 "_from": F.greatest(F.col("position"), F.lit(first)),
                 "_to": F.least(F.col("position") + F.col("copies") - 1, F.lit(last)),
@@ -147,6 +162,7 @@ class Numbered:
             hits.where(F.col("_from") <= F.col("_to"))
             .withColumn("position", F.explode(F.sequence("_from", "_to")))
             .orderBy("position")
+            .limit(limit)
             .select("position", *self.columns)
         )
 

@@ -2,10 +2,11 @@ from aerovox.sources.files import (
     flights_in,
     read_flight_stream,
     read_flights,
-    read_lines,
     read_line_stream,
+    read_lines,
     read_utterance_stream,
     read_utterances,
+    write_utterances,
 )
 from aerovox.sources.formats import FlightStates, Utterances, register
 
@@ -20,4 +21,5 @@ __all__ = [
     "read_utterance_stream",
     "read_utterances",
     "register",
+    "write_utterances",
 ]

@@ -47,3 +47,12 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
 
 def read_utterance_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     return normalize(parse_utterances(read_line_stream(spark, path, max_files_per_trigger)))
+
+
+def write_utterances(utterances: DataFrame, path: str, rows_per_file: int | None = None) -> None:
+    """JSON lines, one utterance each; ``rows_per_file`` sets how much one file, and so one
+    step of a stream that takes a file at a time, brings."""
+    writer = utterances.write
+    if rows_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.json(path)

@@ -25,7 +25,7 @@ class LinePartition(InputPartition):
 
 def landed_files(folder: str) -> list[fs.FileInfo]:
     """Files of a folder by name, without hidden and marker files."""
-    system, root = _open(folder)
+    system, root = open_folder(folder)
     infos = system.get_file_info(fs.FileSelector(root))
     files = [i for i in infos if i.type == fs.FileType.File and i.base_name[0] not in "._" and i.size]
     return sorted(files, key=lambda i: i.base_name)
@@ -53,7 +53,7 @@ def cut(files: Sequence[fs.FileInfo], target_bytes: int) -> list[LinePartition]:
 
 def read_pieces(folder: str, partition: LinePartition) -> Iterator[bytes]:
     """Lines that start inside the partition's ranges, each read to its end."""
-    system, _ = _open(folder)
+    system, _ = open_folder(folder)
     for piece in partition.pieces:
         with system.open_input_file(piece.path) as file:
             yield from _lines(file, piece)
@@ -82,5 +82,6 @@ def _lines(file, piece: Piece) -> Iterator[bytes]:
         yield rest
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of an absolute path or URI; ``s3a`` is Spark's name for ``s3``."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from aerovox.sources.lines import open_folder
 from aerovox.streaming.ingest import triggered
 
 # Statistics of one aircraft, and how two of them combine.
@@ -92,7 +93,7 @@ class IncrementalFlightStats:
 
     def _complete(self, kind: str) -> list[int]:
         """Batches of one kind whose write has finished, in order."""
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = open_folder(self.folder)
         folders = system.get_file_info(fs.FileSelector(f"{root}/{kind}", allow_not_found=True))
         marks = system.get_file_info([f"{f.path}/_SUCCESS" for f in folders])
         return sorted(int(f.base_name) for f, m in zip(folders, marks) if m.type == fs.FileType.File)

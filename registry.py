@@ -56,7 +56,7 @@ def _landed_polls(spark: SparkSession, sf_dir: str) -> str:
 
 def _landed_utterances(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "landed-utterances")
-    fixtures.utterances(spark, sf_dir).write.json(path)
+    sources.write_utterances(fixtures.utterances(spark, sf_dir), path)
     return path
 
 

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "local[4]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__sql__maxMetadataStringLength="10000",
         spark__checkpoint__dir=str(scratch),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )

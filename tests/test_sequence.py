@@ -9,13 +9,14 @@ from aerovox.operators.utterances import UTTERANCE_ORDER
 
 
 @pytest.mark.parametrize("small", [0, 1000])
-def test_totals_before(spark, small):
+def test_totals_before(spark, small, monkeypatch):
+    monkeypatch.setattr(sequence, "SMALL_ROWS", small)
     chance = random.Random(3)
     times = sorted({chance.choice([0, 3600, 86_399, 86_400, 10**8]) * 10**6 + chance.randrange(3) * 400_000 for _ in range(50)})
     rows = spark.createDataFrame([(t, i + 1) for i, t in enumerate(times)], "us long, n int").select(
         "us", F.timestamp_micros("us").alias("t"), "n"
     )
-    got = sequence.totals_before(rows, "t", ["n"], small=small).orderBy("us").collect()
+    got = sequence.totals_before(rows, len(times), "t", ["n"]).orderBy("us").collect()
     assert [r.us for r in got] == times
     assert [r.n_before for r in got] == [sum(range(1, i + 1)) for i in range(len(times))]
 
@@ -99,14 +100,24 @@ def chunks_by_hand(seconds, size, total=0):
 
 
 @pytest.mark.parametrize("total", [0, 55, 5000])
-@pytest.mark.parametrize("unfold", [1 << 20, 2])
-def test_chunk_progress(spark, total, unfold, monkeypatch):
+@pytest.mark.parametrize("small,unfold", [(1 << 20, 1 << 20), (0, 2)])
+def test_chunk_progress(spark, total, small, unfold, monkeypatch):
+    monkeypatch.setattr(sequence, "SMALL_ROWS", small)
     monkeypatch.setattr(sequence, "UNFOLD", unfold)
     rows, pairs = mixed(spark)
     got = progress.chunk_progress(rows, 10, total).collect()
     assert sorted(map(tuple, got)) == chunks_by_hand([s for s, _ in pairs], 10, total)
 
 
+def test_chunk_progress_within_a_second(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "SMALL_ROWS", 0)
+    seconds = [i / 4 for i in range(45)] + [86_400.5] * 13
+    rows = utterances_at(spark, seconds, [f"c{i}" for i in range(len(seconds))])
+    got = sorted(map(tuple, progress.chunk_progress(rows, 10).collect()))
+    assert [g[:4] for g in got] == [c[:4] for c in chunks_by_hand(seconds, 10)]
+    assert [g[4] for g in got] == pytest.approx([c[4] for c in chunks_by_hand(seconds, 10)], abs=0.011)
+
+
 def test_chunk_progress_of_nothing(spark):
     assert progress.chunk_progress(utterances_at(spark, [1]).where("false"), 10).count() == 0
 

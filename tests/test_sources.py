@@ -6,7 +6,7 @@ from helpers import poll, state
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from aerovox import sources
+from aerovox import sources, streaming
 from aerovox.sources import lines
 
 
@@ -71,6 +71,15 @@ def test_utterances(spark, tmp_path):
     assert same(scanned, sources.read_utterances(spark, str(tmp_path)))
 
 
+def test_rows_per_file_bound_a_batch(spark, tmp_path):
+    from helpers import utterances_at
+
+    sources.write_utterances(utterances_at(spark, range(10)).coalesce(1), f"{tmp_path}/landing", rows_per_file=4)
+    rows = sources.read_utterance_stream(spark, f"{tmp_path}/landing", max_files_per_trigger=1)
+    query = streaming.finish(streaming.append_stream(rows, f"{tmp_path}/state", path=f"{tmp_path}/table"))
+    assert sorted(p.numInputRows for p in query.recentProgress) == [2, 4, 4]
+
+
 def run(spark, folder, state_dir, table):
     query = (
         spark.readStream.format("flight_states").load(folder).writeStream.format("parquet")
