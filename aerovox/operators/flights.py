@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from aerovox.functions import public_callsign
 from aerovox.limits import check_range
@@ -68,34 +67,30 @@ def snapshot(flights: DataFrame, region: str | None = None, limit: int = 100) ->
     return api_view(in_region(flights, region).orderBy(*order).limit(limit))
 
 
-def latest_by(flights: DataFrame, key: Column, name: str) -> DataFrame:
-    """Newest positioned row per key.
+def latest_by(flights: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Newest positioned row per key, as a maximum of the whole row in order of newness.
 
-    Spark keeps one row per key and task before it shuffles (window group limit), so a
-    hot key costs no more than any other.
+    Each task keeps one row per key before the shuffle, so a hot key costs no more than any
+    other.
     """
-    newest = Window.partitionBy(name).orderBy(*[F.col(c).desc_nulls_last() for c in _NEWEST])
+    row = F.struct(*_NEWEST, *[c for c in columns if c not in [*_NEWEST, key]])
     return (
-        flights.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .withColumn(name, key)
-        .where(F.col(name).isNotNull())
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") == 1)
-        .drop("_rank")
+        flights.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.max(row).alias("newest"))
+        .select(*[F.col(key if c == key else f"newest.{c}").alias(c) for c in columns])
     )
 
 
 def latest_position(flights: DataFrame) -> DataFrame:
     """Where each aircraft was last seen, with the altitude to colour it by."""
-    columns = ["icao24", "last_contact", "longitude", "latitude", "geo_altitude"]
-    return latest_by(flights.select(*columns, "time_ingest", "squawk"), F.col("icao24"), "icao24").select(*columns)
+    return latest_by(flights, "icao24", ["icao24", "last_contact", "longitude", "latitude", "geo_altitude"])
 
 
 def latest_by_callsign(flights: DataFrame) -> DataFrame:
     """Where each call sign was last seen; blank and missing call signs have no place."""
-    columns = ["callsign", "icao24", "last_contact", "longitude", "latitude"]
-    key = F.nullif(F.trim("callsign"), F.lit(""))
-    return latest_by(flights.select(*columns, "time_ingest", "squawk"), key, "callsign").select(*columns)
+    named = flights.withColumn("callsign", F.nullif(F.trim("callsign"), F.lit("")))
+    return latest_by(named, "callsign", ["callsign", "icao24", "last_contact", "longitude", "latitude"])
 
 
 def running_totals(flights: DataFrame) -> DataFrame:

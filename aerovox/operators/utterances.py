@@ -28,9 +28,10 @@ UTTERANCE_ORDER = ["timestamp", "conversation_id", "utterance_id"]
 SECONDS_PER_WORD = 0.5
 PAUSE_SECONDS = 0.5
 
-# An utterance id is a 32-bit number: blocks of 2^16 ids leave at most 2^15 blocks per
-# conversation, so neither level of the running sum meets a larger group than that.
-BLOCK_IDS = 1 << 16
+# An utterance id is a 32-bit number: blocks of 2^12 ids leave at most 2^19 blocks per
+# conversation, and their sums are two numbers each. A block is also what Spark's window
+# keeps in memory (spark.sql.windowExec.buffer.in.memory.threshold) before it spills.
+BLOCK_IDS = 1 << 12
 
 
 _CORRUPT = "_corrupt"
