@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CALLS_PER_DAY = 500_000
@@ -29,12 +29,12 @@ def transcript_by_speaker(utterances: DataFrame) -> DataFrame:
     return utterances.groupBy("speaker", "domain").count()
 
 
-def conversation_stats(utterances: DataFrame) -> DataFrame:
-    """Length, balance, confidence and span per conversation."""
+def spoken_by(speaker: str) -> Column:
+    return F.count_if(F.col("speaker") == speaker)
 
-    def spoken_by(speaker: str):
-        return F.count_if(F.col("speaker") == speaker)
 
+def conversation_stats(utterances: DataFrame) -> DataFrame:
+    """Length, balance, confidence and span per conversation."""
     return utterances.groupBy("conversation_id", "domain", "topic", "accent").agg(
         F.count("*").alias("total_utterances"),
         spoken_by("agent").alias("agent_utterances"),

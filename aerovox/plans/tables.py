@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from aerovox.operators.quality import Rule
 from aerovox.operators.stats import conversation_stats, flight_stats, transcript_by_speaker
 from aerovox.session import use_utc
-from aerovox.streaming.ingest import finish, ingest_flights, ingest_transcripts
+from aerovox.streaming.incremental import (
+    IncrementalView,
+    incremental_conversation_stats,
+    incremental_flight_stats,
+    incremental_transcript_by_speaker,
+)
+from aerovox.streaming.ingest import finish, ingest_flights, ingest_rejected_polls, ingest_transcripts
 
 FLIGHT_TABLE = "ingest_flights"
 TRANSCRIPT_TABLE = "ingest_transcripts"
+REJECTED_TABLE = "rejected_polls"
 
 
 @dataclass(frozen=True)
@@ -23,6 +30,7 @@ class View:
 
     source: str
     query: Callable[[DataFrame], DataFrame]
+    incremental: Callable[[str], IncrementalView]
     order: Callable[[], list[Column]] = list
 
     def sort(self, rows: DataFrame) -> DataFrame:
@@ -34,20 +42,36 @@ class View:
 
 
 VIEWS = {
-    "flight_stats": View(FLIGHT_TABLE, flight_stats),
+    "flight_stats": View(FLIGHT_TABLE, flight_stats, incremental_flight_stats),
     "transcript_by_speaker": View(
-        TRANSCRIPT_TABLE, transcript_by_speaker, lambda: [F.col("domain"), F.col("speaker")]
+        TRANSCRIPT_TABLE,
+        transcript_by_speaker,
+        incremental_transcript_by_speaker,
+        lambda: [F.col("domain"), F.col("speaker")],
     ),
     "conversation_stats": View(
-        TRANSCRIPT_TABLE, conversation_stats, lambda: [F.desc("conversation_start")]
+        TRANSCRIPT_TABLE,
+        conversation_stats,
+        incremental_conversation_stats,
+        lambda: [F.desc("conversation_start")],
     ),
 }
 
 
-def refresh_view(spark: SparkSession, database: str, name: str) -> DataFrame:
-    """Computes a view anew from its source table, stores it and returns it."""
+def refresh_view(spark: SparkSession, database: str, name: str, state: str | None = None) -> DataFrame:
+    """Stores a view anew and returns it.
+
+    With a ``state`` folder only rows that came since the last refresh are read, and added
+    to the partials kept there. Without one the whole source table is read.
+    """
     view = VIEWS[name]
-    rows = view.query(spark.table(f"{database}.{view.source}"))
+    source = f"{database}.{view.source}"
+    if state is None:
+        rows = view.query(spark.table(source))
+    else:
+        kept = view.incremental(f"{state}/{name}")
+        finish(kept.start(spark.readStream.table(source), f"{state}/{name}-stream"))
+        rows = kept.current(spark)
     rows.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
     return read_view(spark, database, name)
 
@@ -61,7 +85,7 @@ def _refresh(spark: SparkSession, database: str, ingest, source: str, landing: s
     finish(ingest(spark, landing, f"{state}/{source}", table=f"{database}.{source}", **options))
     for name, view in VIEWS.items():
         if view.source == source:
-            refresh_view(spark, database, name)
+            refresh_view(spark, database, name, state)
 
 
 def refresh_flights(
@@ -73,12 +97,15 @@ def refresh_flights(
     rules: tuple[Rule, ...] = (),
     max_files_per_trigger: int | None = None,
 ) -> None:
-    """Takes in the polls that have landed since the last refresh, then stores the views.
+    """Takes in the polls that have landed since the last refresh, then brings the views up
+    to date. Lines that are no poll go to the table ``rejected_polls``.
 
-    ``state`` is a shared folder that holds how far each streaming table has come.
+    ``state`` is a shared folder that holds how far each table and view has come.
     """
-    options = {"region": region, "rules": rules, "max_files_per_trigger": max_files_per_trigger}
-    _refresh(spark, database, ingest_flights, FLIGHT_TABLE, landing, state, **options)
+    files = {"max_files_per_trigger": max_files_per_trigger}
+    _refresh(spark, database, ingest_flights, FLIGHT_TABLE, landing, state, region=region, rules=rules, **files)
+    rejected = f"{database}.{REJECTED_TABLE}"
+    finish(ingest_rejected_polls(spark, landing, f"{state}/{REJECTED_TABLE}", table=rejected, **files))
 
 
 def refresh_transcripts(

@@ -1,20 +1,32 @@
-from aerovox.streaming.incremental import IncrementalFlightStats
+from aerovox.streaming.incremental import (
+    IncrementalView,
+    incremental_conversation_stats,
+    incremental_flight_stats,
+    incremental_transcript_by_speaker,
+)
 from aerovox.streaming.ingest import (
+    POLL_SPACING,
     QUALITY_METRICS,
     append_stream,
     finish,
     ingest_flights,
+    ingest_rejected_polls,
     ingest_transcripts,
     resume_point,
 )
 from aerovox.streaming.summary import observed_breaches, stream_summary
 
 __all__ = [
+    "POLL_SPACING",
     "QUALITY_METRICS",
-    "IncrementalFlightStats",
+    "IncrementalView",
     "append_stream",
     "finish",
+    "incremental_conversation_stats",
+    "incremental_flight_stats",
+    "incremental_transcript_by_speaker",
     "ingest_flights",
+    "ingest_rejected_polls",
     "ingest_transcripts",
     "observed_breaches",
     "resume_point",

@@ -1,64 +1,26 @@
-"""Flight statistics kept up to date batch by batch, the distinct count exact."""
+"""Aggregate views kept up to date batch by batch, with exact results."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from aerovox.operators.stats import spoken_by
+from aerovox.schemas import FLIGHT, UTTERANCE
 from aerovox.sources.lines import open_folder
 from aerovox.streaming.ingest import triggered
 
-# Statistics of one aircraft, and how two of them combine.
-_COMBINE = {
-    "num_events": F.sum,
-    "max_asc_rate": F.max,
-    "max_desc_rate": F.min,
-    "max_speed": F.max,
-    "max_altitude": F.max,
-    "first_ingest": F.min,
-    "last_ingest": F.max,
-}
-
-
-def partials(flights: DataFrame) -> DataFrame:
-    """Statistics per aircraft."""
-    return flights.groupBy("icao24").agg(
-        F.count("*").alias("num_events"),
-        F.max("vertical_rate").alias("max_asc_rate"),
-        F.min("vertical_rate").alias("max_desc_rate"),
-        F.max("velocity").alias("max_speed"),
-        F.max("geo_altitude").alias("max_altitude"),
-        F.min("time_ingest").alias("first_ingest"),
-        F.max("time_ingest").alias("last_ingest"),
-    )
-
-
-def _combined() -> list[Column]:
-    return [combine(name).alias(name) for name, combine in _COMBINE.items()]
-
-
-def merge(parts: DataFrame) -> DataFrame:
-    """Partials of several batches as one per aircraft."""
-    return parts.groupBy("icao24").agg(*_combined())
-
-
-def roll_up(parts: DataFrame) -> DataFrame:
-    """The statistics of all aircraft together, as one row."""
-    return parts.agg(F.countDistinct("icao24").alias("unique_aircraft"), *_combined()).select(
-        F.coalesce("num_events", F.lit(0)).alias("num_events"),
-        "unique_aircraft",
-        "max_asc_rate",
-        "max_desc_rate",
-        "max_speed",
-        "max_altitude",
-        F.timestamp_diff("SECOND", "first_ingest", "last_ingest").alias("observation_duration"),
-    )
+# A measure of one group, and how the measures of two batches combine.
+Measure = tuple[Column, Callable[[str], Column]]
 
 
-class IncrementalFlightStats:
-    """A folder of per-aircraft partials that a stream adds to and a reader rolls up.
+class IncrementalView:
+    """A folder of per-group partials that a stream adds to and a reader finishes.
 
     Batch n writes ``part/n``, replacing what a failed attempt left there. Every
     ``merge_every`` batches the latest merged state and the parts after it become
@@ -66,27 +28,47 @@ class IncrementalFlightStats:
     work per batch does not grow with the age of the stream.
     """
 
-    def __init__(self, folder: str, merge_every: int = 100):
+    def __init__(
+        self,
+        folder: str,
+        source: StructType,
+        keys: list[str],
+        measures: dict[str, Measure],
+        finish: Callable[[DataFrame], DataFrame],
+        merge_every: int = 100,
+    ):
         if merge_every < 1:
             raise ValueError("merge_every must be at least 1")
         self.folder = folder.rstrip("/")
+        self.source = source
+        self.keys = keys
+        self.measures = measures
+        self.finish = finish
         self.merge_every = merge_every
 
-    def update(self, flights: DataFrame, batch_id: int) -> None:
+    def partials(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*[measure.alias(name) for name, (measure, _) in self.measures.items()])
+
+    def merge(self, parts: DataFrame) -> DataFrame:
+        """Partials of several batches as one row per group."""
+        return parts.groupBy(*self.keys).agg(
+            *[combine(name).alias(name) for name, (_, combine) in self.measures.items()]
+        )
+
+    def update(self, rows: DataFrame, batch_id: int) -> None:
         """Sink of one micro-batch, for ``foreachBatch``."""
-        spark = flights.sparkSession
-        partials(flights).write.mode("overwrite").parquet(self._at("part", batch_id))
+        self.partials(rows).write.mode("overwrite").parquet(self._at("part", batch_id))
         if (batch_id + 1) % self.merge_every == 0:
-            state = merge(self._parts(spark, upto=batch_id, merged_before=batch_id))
+            state = self.merge(self._parts(rows.sparkSession, batch_id))
             state.write.mode("overwrite").parquet(self._at("merged", batch_id))
 
-    def start(self, flights: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        writer = flights.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
+    def start(self, rows: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        writer = rows.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
         return triggered(writer, every).start()
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """The statistics of everything committed so far."""
-        return roll_up(self._parts(spark))
+        """The view of everything committed so far."""
+        return self.finish(self.merge(self._parts(spark)))
 
     def _at(self, kind: str, batch_id: int) -> str:
         return f"{self.folder}/{kind}/{batch_id}"
@@ -98,11 +80,74 @@ class IncrementalFlightStats:
         marks = system.get_file_info([f"{f.path}/_SUCCESS" for f in folders])
         return sorted(int(f.base_name) for f, m in zip(folders, marks) if m.type == fs.FileType.File)
 
-    def _parts(self, spark: SparkSession, upto: int | None = None, merged_before: int | None = None) -> DataFrame:
-        states = [n for n in self._complete("merged") if merged_before is None or n < merged_before]
+    def _parts(self, spark: SparkSession, merging: int | None = None) -> DataFrame:
+        """The latest merged state and the parts after it, for a merge only up to its batch."""
+        states = [n for n in self._complete("merged") if merging is None or n < merging]
         base = states[-1] if states else -1
-        parts = [n for n in self._complete("part") if n > base and (upto is None or n <= upto)]
+        parts = [n for n in self._complete("part") if n > base and (merging is None or n <= merging)]
         paths = [self._at("merged", base)] * bool(states) + [self._at("part", n) for n in parts]
         if not paths:
-            raise ValueError(f"no batch has been committed to {self.folder} yet")
+            return self.partials(spark.createDataFrame([], self.source))
         return spark.read.parquet(*paths)
+
+
+def _flight_stats(per_aircraft: DataFrame) -> DataFrame:
+    return per_aircraft.agg(
+        F.coalesce(F.sum("num_events"), F.lit(0)).alias("num_events"),
+        F.count("icao24").alias("unique_aircraft"),
+        F.max("max_asc_rate").alias("max_asc_rate"),
+        F.min("max_desc_rate").alias("max_desc_rate"),
+        F.max("max_speed").alias("max_speed"),
+        F.max("max_altitude").alias("max_altitude"),
+        F.timestamp_diff("SECOND", F.min("first_ingest"), F.max("last_ingest")).alias("observation_duration"),
+    )
+
+
+def incremental_flight_stats(folder: str, merge_every: int = 100) -> IncrementalView:
+    """``flight_stats`` from partials per aircraft, which keep the distinct count exact."""
+    measures = {
+        "num_events": (F.count("*"), F.sum),
+        "max_asc_rate": (F.max("vertical_rate"), F.max),
+        "max_desc_rate": (F.min("vertical_rate"), F.min),
+        "max_speed": (F.max("velocity"), F.max),
+        "max_altitude": (F.max("geo_altitude"), F.max),
+        "first_ingest": (F.min("time_ingest"), F.min),
+        "last_ingest": (F.max("time_ingest"), F.max),
+    }
+    return IncrementalView(folder, FLIGHT, ["icao24"], measures, _flight_stats, merge_every)
+
+
+def incremental_transcript_by_speaker(folder: str, merge_every: int = 100) -> IncrementalView:
+    """``transcript_by_speaker`` from counts that add up."""
+    measures = {"count": (F.count("*"), F.sum)}
+    return IncrementalView(folder, UTTERANCE, ["speaker", "domain"], measures, lambda merged: merged, merge_every)
+
+
+def incremental_conversation_stats(folder: str, merge_every: int = 100) -> IncrementalView:
+    """``conversation_stats`` from partials per group; the mean is kept as sum and count."""
+    keys = ["conversation_id", "domain", "topic", "accent"]
+    measures = {
+        "total_utterances": (F.count("*"), F.sum),
+        "agent_utterances": (spoken_by("agent"), F.sum),
+        "customer_utterances": (spoken_by("customer"), F.sum),
+        "confidence_sum": (F.sum("confidence"), F.sum),
+        "confidence_count": (F.count("confidence"), F.sum),
+        "conversation_duration": (F.max("end_time"), F.max),
+        "conversation_start": (F.min("timestamp"), F.min),
+        "conversation_end": (F.max("timestamp"), F.max),
+    }
+
+    def finish(merged: DataFrame) -> DataFrame:
+        mean = F.col("confidence_sum") / F.nullif(F.col("confidence_count"), F.lit(0))
+        return merged.select(
+            *keys,
+            "total_utterances",
+            "agent_utterances",
+            "customer_utterances",
+            mean.alias("avg_confidence"),
+            "conversation_duration",
+            "conversation_start",
+            "conversation_end",
+        )
+
+    return IncrementalView(folder, UTTERANCE, keys, measures, finish, merge_every)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from aerovox.operators.polls import rejected_polls
 from aerovox.operators.quality import Rule, enforce, observe
-from aerovox.sources import read_flight_stream, read_utterance_stream
+from aerovox.sources import read_flight_stream, read_line_stream, read_utterance_stream
 
 # Fixed value: shortest time between two polls.
 POLL_SPACING = "5 seconds"
@@ -57,6 +58,20 @@ def ingest_flights(
     return append_stream(_checked(rows, rules), checkpoint, table, path, every)
 
 
+def ingest_rejected_polls(
+    spark: SparkSession,
+    landing: str,
+    checkpoint: str,
+    table: str | None = None,
+    path: str | None = None,
+    max_files_per_trigger: int | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Keeps the landed lines that are no poll, for someone to look at."""
+    rows = rejected_polls(read_line_stream(spark, landing, max_files_per_trigger))
+    return append_stream(rows, checkpoint, table, path, every)
+
+
 def ingest_transcripts(
     spark: SparkSession,
     landing: str,

@@ -683,11 +683,32 @@ def _(spark, sf_dir):
     landing = _landed_polls(spark, sf_dir)
     quarter = math.ceil(len(spark.read.text(landing).inputFiles()) / 4)
     lines = sources.read_line_stream(spark, landing, max_files_per_trigger=quarter)
-    kept = streaming.IncrementalFlightStats(scratch_path(spark, "flight-stats"), merge_every=3)
+    kept = streaming.incremental_flight_stats(scratch_path(spark, "flight-stats"), merge_every=3)
     streaming.finish(kept.start(polls.flights_from_polls(lines), scratch_path(spark, "checkpoint")))
     return kept.current(spark)
 
 
+def _kept_transcript_view(spark: SparkSession, sf_dir: str, incremental) -> DataFrame:
+    landing = _landed_utterances(spark, sf_dir)
+    quarter = math.ceil(len(spark.read.text(landing).inputFiles()) / 4)
+    rows = sources.read_utterance_stream(spark, landing, max_files_per_trigger=quarter)
+    kept = incremental(scratch_path(spark, "transcript-view"), merge_every=3)
+    streaming.finish(kept.start(rows, scratch_path(spark, "checkpoint")))
+    return kept.current(spark)
+
+
+@query("transcript_by_speaker_incremental", _SQL["transcript_by_speaker"])
+def _(spark, sf_dir):
+    rows = _kept_transcript_view(spark, sf_dir, streaming.incremental_transcript_by_speaker)
+    return VIEWS["transcript_by_speaker"].sort(rows)
+
+
+@query("conversation_stats_incremental", _conversation_stats("utterances"))
+def _(spark, sf_dir):
+    rows = _kept_transcript_view(spark, sf_dir, streaming.incremental_conversation_stats)
+    return _rounded(VIEWS["conversation_stats"].sort(rows), "avg_confidence")
+
+
 @query(
     "stream_summary",
     f"""

@@ -7,7 +7,6 @@ from test_sources import land, same
 from aerovox import plans, sources, streaming
 from aerovox.operators import polls, quality
 from aerovox.operators.stats import flight_stats
-from aerovox.streaming.incremental import IncrementalFlightStats
 
 
 def land_polls(folder, first, count):
@@ -109,7 +108,7 @@ def test_failing_rule_ends_the_stream(spark, folders):
 @pytest.mark.parametrize("merge_every", [1, 3, 100])
 def test_incremental_stats_equal_the_view(spark, folders, merge_every):
     landing, state_dir, kept_in = folders
-    kept = IncrementalFlightStats(kept_in, merge_every)
+    kept = streaming.incremental_flight_stats(kept_in, merge_every)
 
     def update():
         lines = sources.read_line_stream(spark, landing, max_files_per_trigger=1)
@@ -127,7 +126,7 @@ def test_a_repeated_batch_counts_once(spark, folders):
     landing, _, kept_in = folders
     land_polls(landing, 0, 4)
     rows = sources.read_flights(spark, landing)
-    kept = IncrementalFlightStats(kept_in, merge_every=2)
+    kept = streaming.incremental_flight_stats(kept_in, merge_every=2)
     for batch in (0, 0, 1, 1, 2, 2, 3, 3):
         kept.update(rows.where(f"unix_seconds(time_ingest) = {1000 + 60 * batch}"), batch)
     assert kept.current(spark).collect() == flight_stats(rows).collect()
@@ -138,9 +137,8 @@ def test_incremental_stats_ignore_unfinished_writes(spark, folders):
 
     landing, _, kept_in = folders
     land_polls(landing, 0, 1)
-    kept = IncrementalFlightStats(kept_in)
-    with pytest.raises(ValueError):
-        kept.current(spark)
+    kept = streaming.incremental_flight_stats(kept_in)
+    assert kept.current(spark).first().num_events == 0
     kept.update(sources.read_flights(spark, landing), 0)
     os.makedirs(f"{kept_in}/part/1/_temporary")
     assert kept.current(spark).first().num_events == 5
@@ -149,12 +147,17 @@ def test_incremental_stats_ignore_unfinished_writes(spark, folders):
 def test_refresh_flights(spark, folders):
     landing, state_dir, _ = folders
     land_polls(landing, 0, 2)
+    land(landing, "bad.txt", "not json")
     for expected in (10, 10, 15):
         if expected == 15:
             land_polls(landing, 2, 1)
         plans.refresh_flights(spark, landing, state_dir, "sky")
         assert spark.table("sky.ingest_flights").count() == expected
         assert plans.read_view(spark, "sky", "flight_stats").first().num_events == expected
+        whole = plans.VIEWS["flight_stats"].query(spark.table("sky.ingest_flights"))
+        assert same(plans.read_view(spark, "sky", "flight_stats"), whole)
+    assert spark.table("sky.rejected_polls").count() == 1
+    assert same(plans.refresh_view(spark, "sky", "flight_stats"), whole)
 
 
 def test_refresh_transcripts(spark, folders):
@@ -162,7 +165,10 @@ def test_refresh_transcripts(spark, folders):
     for i, speaker in enumerate(["customer", "agent", "agent"]):
         said = {"timestamp": f"2024-01-0{i + 1}T00:00:00Z", "conversation_id": f"c{i}", "speaker": speaker}
         land(landing, f"{i}.jsonl", json.dumps({**said, "domain": "sales"}))
-    plans.refresh_transcripts(spark, landing, state_dir, "calls")
+        plans.refresh_transcripts(spark, landing, state_dir, "calls")
+    for name, view in plans.VIEWS.items():
+        if view.source == "ingest_transcripts":
+            assert same(plans.read_view(spark, "calls", name), view.query(spark.table("calls.ingest_transcripts")))
     by_speaker = plans.read_view(spark, "calls", "transcript_by_speaker").collect()
     assert [(r.speaker, r["count"]) for r in by_speaker] == [("agent", 2), ("customer", 1)]
     latest_first = plans.read_view(spark, "calls", "conversation_stats").collect()
