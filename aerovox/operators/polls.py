@@ -140,3 +140,11 @@ def poll_labels(lines: DataFrame, first: int = 3) -> DataFrame:
         lambda f: flight_label(f["callsign"], f["icao24"], f["origin_country"]),
     )
     return public_polls(lines).select("time_ingest", "count", F.array_join(labels, ", ").alias("labels"))
+
+
+def error_envelopes(lines: DataFrame) -> DataFrame:
+    """``{error, timestamp}`` as JSON text for each line that is no poll."""
+    error = F.struct(
+        F.lit("not a poll").alias("error"), F.date_format(F.current_timestamp(), ISO_UTC).alias("timestamp")
+    )
+    return rejected_polls(lines).select("value", F.to_json(error).alias("envelope"))

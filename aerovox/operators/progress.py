@@ -23,7 +23,11 @@ def _epoch(moment: Column) -> Column:
 
 
 def _rate(sent: Column, elapsed: Column) -> Column:
-    return F.coalesce(F.round(sent / F.nullif(elapsed, F.lit(0.0)), 2), F.lit(0.0))
+    return F.coalesce(sent / F.nullif(elapsed, F.lit(0.0)), F.lit(0.0))
+
+
+def describe_rate(rate: Column) -> Column:
+    return F.concat(F.round(rate, 0).cast("string"), F.lit(" utterances/second"))
 
 
 def chunk_progress(utterances: DataFrame, chunk_size: int = 100, total_utterances: int = 0) -> DataFrame:
@@ -59,7 +63,8 @@ def chunk_progress(utterances: DataFrame, chunk_size: int = 100, total_utterance
             "total_sent",
             F.round(sent / everything * 100, 2).alias("percent"),
             F.round(elapsed, 2).alias("elapsed_seconds"),
-            _rate(sent, elapsed).alias("throughput"),
+            F.round(_rate(sent, elapsed), 2).alias("throughput"),
+            describe_rate(_rate(sent, elapsed)).alias("throughput_description"),
         )
     )
 

@@ -24,13 +24,16 @@ def stream_summary(spark, query: StreamingQuery) -> DataFrame:
     progress = _progress(query, spark)
     total = sum(p.numInputRows for p in progress)
     seconds = sum(p.batchDuration for p in progress) / 1000
+    rate = total / seconds if seconds else 0.0
     row = Row(
         status="running" if query.isActive else "complete",
         total=total,
         elapsed_seconds=round(seconds, 2),
-        throughput=round(total / seconds, 2) if seconds else 0.0,
+        throughput=round(rate, 2),
+        throughput_description=f"{round(rate, 0)} utterances/second",
     )
-    return spark.createDataFrame([row], "status string, total long, elapsed_seconds double, throughput double")
+    layout = "status string, total long, elapsed_seconds double, throughput double, throughput_description string"
+    return spark.createDataFrame([row], layout)
 
 
 def observed_breaches(spark, query: StreamingQuery) -> DataFrame:

@@ -580,15 +580,16 @@ def _chunks(size: int) -> str:
     return f"""(
       SELECT chunk_number, chunk_size, total_sent, round(total_sent / everything * 100, 2) AS percent,
         round(elapsed, 2) AS elapsed_seconds,
-        CASE WHEN elapsed = 0 THEN 0.0 ELSE round(total_sent / elapsed, 2) END AS throughput
+        round(rate, 2) AS throughput, round(rate, 0) || ' utterances/second' AS throughput_description
       FROM (
+       SELECT *, coalesce(total_sent / nullif(elapsed, 0), 0) AS rate FROM (
         SELECT chunk_number, n AS chunk_size, CAST(sum(n) OVER (ORDER BY chunk_number) AS BIGINT) AS total_sent,
           CAST(sum(n) OVER () AS DOUBLE) AS everything,
           epoch(ends) - epoch(min(begins) OVER ()) AS elapsed
         FROM (
           SELECT CAST((position - 1) // {size} + 1 AS BIGINT) AS chunk_number, count(*) AS n,
             min(timestamp) AS begins, max(timestamp) AS ends
-          FROM ({_NUMBERED}) GROUP BY 1)))"""
+          FROM ({_NUMBERED}) GROUP BY 1))))"""
 
 
 @query("chunk_progress", f"SELECT chunk_number, chunk_size, total_sent, percent FROM {_chunks(20)}")
@@ -597,10 +598,13 @@ def _(spark, sf_dir):
     return chunks.select("chunk_number", "chunk_size", "total_sent", "percent")
 
 
-@query("chunk_throughput", f"SELECT chunk_number, total_sent, elapsed_seconds, throughput FROM {_chunks(20)}")
+@query(
+    "chunk_throughput",
+    f"SELECT chunk_number, total_sent, elapsed_seconds, throughput, throughput_description FROM {_chunks(20)}",
+)
 def _(spark, sf_dir):
     chunks = progress.chunk_progress(fixtures.utterances(spark, sf_dir), 20)
-    return chunks.select("chunk_number", "total_sent", "elapsed_seconds", "throughput")
+    return chunks.select("chunk_number", "total_sent", "elapsed_seconds", "throughput", "throughput_description")
 
 
 @query("chunk_sampled", f"SELECT * FROM {_chunks(20)} WHERE chunk_number % 10 = 0 OR chunk_number <= 5")

@@ -82,6 +82,11 @@ def test_rejected_polls(spark):
     assert [r.value for r in polls.rejected_polls(lines_of(spark, *lines)).collect()] == lines[:3]
 
 
+def test_error_envelopes(spark):
+    (row,) = polls.error_envelopes(lines_of(spark, "not json", poll(state()))).collect()
+    assert row.value == "not json" and set(json.loads(row.envelope)) == {"error", "timestamp"}
+
+
 def test_envelope_holds_the_public_flights(spark):
     line = poll(state(p1="  AB  ", p3=0), state(p5=None), state(p0="zz", p1=""), time=86400)
     (row,) = polls.poll_envelopes(lines_of(spark, line)).collect()

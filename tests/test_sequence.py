@@ -94,8 +94,9 @@ def chunks_by_hand(seconds, size, total=0):
     for number, low in enumerate(range(0, everything, size), 1):
         sent = min(low + size, everything)
         elapsed = float(seconds[sent - 1] - seconds[0])
-        rate = round(sent / elapsed, 2) if elapsed else 0.0
-        out.append((number, sent - low, sent, round(sent / everything * 100, 2), elapsed, rate))
+        rate = sent / elapsed if elapsed else 0.0
+        said = f"{round(rate, 0)} utterances/second"
+        out.append((number, sent - low, sent, round(sent / everything * 100, 2), elapsed, round(rate, 2), said))
     return out
 
 

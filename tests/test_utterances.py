@@ -88,6 +88,11 @@ def test_timing_spreads_one_conversation(spark, monkeypatch):
     assert "hashpartitioning(conversation_id" in text and "_block" in text
 
 
+def test_served_rows_carry_the_present(spark):
+    row = utterances.serve(utterances_at(spark, [1])).selectExpr("current_timestamp() = timestamp AS now").first()
+    assert row.now
+
+
 def test_conversation_lookup(spark):
     rows = turns(spark, [("a", 2, "y"), ("b", 1, "n"), ("a", 1, "x")])
     assert [r.text for r in utterances.conversation(rows, "a").collect()] == ["x", "y"]
