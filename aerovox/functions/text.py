@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLANKS = " \t\n\r\x0b\x0c"
+
 
 def public_callsign(callsign: Column) -> Column:
     """Trimmed call sign. An empty one is null, an all-blank one stays as empty text."""
-    return F.when(callsign != "", F.trim(callsign))
+    return F.when(callsign != "", F.trim(callsign, F.lit(BLANKS)))
 
 
 def flight_label(callsign: Column, icao24: Column, country: Column) -> Column:

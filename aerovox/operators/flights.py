@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerovox.functions import public_callsign
+from aerovox.functions.text import BLANKS
 from aerovox.limits import check_range
 from aerovox.operators.sequence import totals_before
 from aerovox.regions import REGIONS, region_box
@@ -89,7 +90,7 @@ def latest_position(flights: DataFrame) -> DataFrame:
 
 def latest_by_callsign(flights: DataFrame) -> DataFrame:
     """Where each call sign was last seen; blank and missing call signs have no place."""
-    named = flights.withColumn("callsign", F.nullif(F.trim("callsign"), F.lit("")))
+    named = flights.withColumn("callsign", F.nullif(F.trim("callsign", F.lit(BLANKS)), F.lit("")))
     return latest_by(named, "callsign", ["callsign", "icao24", "last_contact", "longitude", "latitude"])
 
 

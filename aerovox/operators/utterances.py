@@ -106,10 +106,11 @@ def utterance_timing(turns: DataFrame, pause: float = PAUSE_SECONDS) -> DataFram
         )
         timed = timed.join(offsets, ["conversation_id", "_block"], "left")
         start = start + F.coalesce(F.col("_offset"), F.lit(0.0))
+    added = ["duration", "start_time", "end_time"]
     return (
         timed.withColumn("start_time", start)
         .withColumn("end_time", F.col("start_time") + F.col("duration"))
-        .select(*[c for c in turns.columns if c not in ("start_time", "end_time")], "duration", "start_time", "end_time")
+        .select(*[c for c in turns.columns if c not in added], *added)
     )
 
 

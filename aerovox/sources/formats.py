@@ -116,26 +116,27 @@ def _utterance_time(value, now: int) -> int:
     return round(moment.timestamp() * 1e6)
 
 
+def _said(value, kind: str):
+    """A landed value as its column takes it; raises where the types do not fit."""
+    if value is None or kind == "string":
+        return _text(value)
+    if type(value) is int or (kind == "double" and type(value) is float):
+        value = _CONVERT[kind](value)
+        if value is not None:
+            return value
+    raise TypeError(f"{value!r} is no {kind}")
+
+
 def _utterance_rows(lines: Iterable[bytes]) -> Iterator[tuple]:
     now = round(datetime.now(UTC).timestamp() * 1e6)
     for line in lines:
         try:
             said = json.loads(line)
-        except ValueError:
-            continue
-        if not isinstance(said, dict):
+            row = {f.name: _said(said.get(f.name), f.dataType.simpleString()) for f in UTTERANCE.fields[1:]}
+        except (ValueError, TypeError, AttributeError):
             continue
-        found = {name: said.get(name) for name in UTTERANCE.names}
-        row = []
-        for field in UTTERANCE.fields:
-            value = found[field.name]
-            if field.name == "timestamp":
-                value = _utterance_time(value, now)
-            else:
-                value = _CONVERT[field.dataType.simpleString()](value)
-                value = DEFAULTS.get(field.name) if value is None else value
-            row.append(value)
-        yield tuple(row)
+        filled = [DEFAULTS.get(name) if value is None else value for name, value in row.items()]
+        yield (_utterance_time(said.get("timestamp"), now), *filled)
 
 
 def _batches(rows: Iterable[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:

@@ -227,7 +227,8 @@ def _(spark, sf_dir):
 
 
 def _newest(key: str) -> str:
-    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("last_contact", "time_ingest", "longitude", "latitude", "squawk"))
+    columns = ("last_contact", "time_ingest", "longitude", "latitude", "squawk")
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in columns)
     return f"row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1"
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 
-STATE = ["abc123", "FL1     ", "Nowhere", 100, 200, 10.5, 50.5, 1000, False, 250.5, 90, -1.5, [1, 2], 1030, "7000", False, 3]
+STATE = ["abc123", "FL1     ", "Nowhere", 100, 200, 10.5, 50.5, 1000, False, 250.5, 90, -1.5]
+STATE += [[1, 2], 1030, "7000", False, 3]
 
 
 def state(**changes):

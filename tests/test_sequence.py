@@ -12,7 +12,8 @@ from aerovox.operators.utterances import UTTERANCE_ORDER
 def test_totals_before(spark, small, monkeypatch):
     monkeypatch.setattr(sequence, "SMALL_ROWS", small)
     chance = random.Random(3)
-    times = sorted({chance.choice([0, 3600, 86_399, 86_400, 10**8]) * 10**6 + chance.randrange(3) * 400_000 for _ in range(50)})
+    seconds = [chance.choice([0, 3600, 86_399, 86_400, 10**8]) for _ in range(50)]
+    times = sorted({s * 10**6 + chance.randrange(3) * 400_000 for s in seconds})
     rows = spark.createDataFrame([(t, i + 1) for i, t in enumerate(times)], "us long, n int").select(
         "us", F.timestamp_micros("us").alias("t"), "n"
     )
@@ -31,7 +32,8 @@ def test_unfold(spark, monkeypatch):
 def mixed(spark):
     """Distinct times, one time shared by many conversations, and a hot group of equal rows."""
     seconds = [*range(20), *[30] * 15, *[40] * 40, *range(50, 70)]
-    names = [*[f"d{i}" for i in range(20)], *[f"e{i:02}" for i in range(15)], *["hot"] * 40, *[f"f{i}" for i in range(20)]]
+    names = [*[f"d{i}" for i in range(20)], *[f"e{i:02}" for i in range(15)]]
+    names += [*["hot"] * 40, *[f"f{i}" for i in range(20)]]
     return utterances_at(spark, seconds, names), list(zip(map(float, seconds), names))
 
 

@@ -65,9 +65,11 @@ def test_bad_options(spark, landing, option):
 def test_utterances(spark, tmp_path):
     sources.register(spark)
     said = {"timestamp": "2024-01-01T00:00:00Z", "conversation_id": "c", "utterance_id": 1, "text": "ä\n"}
-    land(str(tmp_path), "1.jsonl", json.dumps(said), "nope", "[]", json.dumps({**said, "speaker": None, "confidence": 2}))
+    odd = [{"speaker": None, "confidence": 2}, {"speaker": 7}, {"confidence": "high"}, {"utterance_id": 1.5}]
+    odd += [{"utterance_id": 2**40}, {"end_time": True}]
+    land(str(tmp_path), "1.jsonl", json.dumps(said), "nope", "[]", *[json.dumps({**said, **o}) for o in odd])
     scanned = spark.read.format("utterances").load(str(tmp_path))
-    assert scanned.count() == 2
+    assert scanned.count() == 3
     assert same(scanned, sources.read_utterances(spark, str(tmp_path)))
 
 

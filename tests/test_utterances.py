@@ -131,7 +131,8 @@ def test_views_are_sorted(spark):
 
 
 def test_load_estimate(spark):
-    rows = speakers(spark, *"abc").unionAll(speakers(spark, "a").selectExpr("'d' AS conversation_id", "* EXCEPT (conversation_id)"))
+    other = speakers(spark, "a").selectExpr("'d' AS conversation_id", "* EXCEPT (conversation_id)")
+    rows = speakers(spark, *"abc").unionAll(other)
     assert tuple(stats.load_estimate(rows).first()) == (4, 2, 2.0, 11, 1_000_000)
 
 
