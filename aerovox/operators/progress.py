@@ -91,7 +91,7 @@ def chunk_envelopes(utterances: DataFrame, chunk_size: int = 100) -> DataFrame:
         F.struct(*[_plain(utterances, c) for c in utterances.columns]).alias("utterance"),
     )
     sent = (F.col("chunk_number") - 1) * chunk_size + F.size("utterances")
-    ordered = F.array_sort(F.collect_list(part))
+    ordered = F.sort_array(F.collect_list(part))
     repeated = F.flatten(F.transform(ordered, lambda p: F.array_repeat(p["utterance"], p["times"])))
     return (
         parts.groupBy("chunk_number")

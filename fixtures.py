@@ -96,7 +96,7 @@ def _fill(template: str, marks: dict[str, str]) -> str:
 
 def duckdb_views() -> str:
     """Common table expressions of all views, to put after ``WITH`` in an oracle query."""
-    flights = _fill(_FLIGHTS, {**_DUCKDB, "KEEP": "event_id,", "EVENTS": "events", "NATION": "nation"})
+    flights = _fill(_FLIGHTS, {**_DUCKDB, "KEEP": "event_id, ", "EVENTS": "events", "NATION": "nation"})
     views = {
         "flight_events": flights,
         "flights": "SELECT * EXCLUDE (event_id) FROM flight_events",
@@ -110,15 +110,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flights with the ``event_id`` they were made from."""
-    frames = {"events": table(spark, sf_dir, "events"), "nation": table(spark, sf_dir, "nation")}
-    sql = _fill(_FLIGHTS, {**_SPARK, "KEEP": "event_id,", "EVENTS": "{events}", "NATION": "{nation}"})
-    return spark.sql(sql, **frames)
+def _flight_events(events: DataFrame, nation: DataFrame, *keep: str) -> DataFrame:
+    marks = {"KEEP": "".join(f"{c}, " for c in keep), "EVENTS": "{events}", "NATION": "{nation}"}
+    return events.sparkSession.sql(_fill(_FLIGHTS, {**_SPARK, **marks}), events=events, nation=nation)
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flight_events(spark, sf_dir).drop("event_id")
+    return _flight_events(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
 
 
 def poll_lines(spark: SparkSession, sf_dir: str, spoiled: dict[str, F.Column] | None = None) -> DataFrame:
@@ -152,15 +150,22 @@ def poll_lines(spark: SparkSession, sf_dir: str, spoiled: dict[str, F.Column] |
         **(spoiled or {}),
     }
     state = F.concat_ws(",", *fields.values())
+    # The events move to their lines while they are still four columns, not yet JSON text.
+    events = (
+        table(spark, sf_dir, "events")
+        .withColumn("time", F.unix_timestamp(F.date_trunc("hour", "ts")))
+        .withColumn("run", F.expr(f"event_id DIV {POLL_STATES}"))
+        .repartition("time", "run")
+    )
     return (
-        flight_events(spark, sf_dir)
+        _flight_events(events, table(spark, sf_dir, "nation"), "event_id", "time", "run")
         .select(
-            F.unix_timestamp("time_ingest").alias("time"),
-            F.expr(f"event_id DIV {POLL_STATES}").alias("run"),
+            "time",
+            "run",
             F.struct("event_id", F.concat(F.lit("["), state, F.lit("]")).alias("json")).alias("state"),
         )
         .groupBy("time", "run")
-        .agg(F.array_sort(F.collect_list("state")).alias("states"))
+        .agg(F.sort_array(F.collect_list("state")).alias("states"))
         .select(
             F.concat(
                 F.lit('{"time":'),
