@@ -11,6 +11,7 @@ from aerovox.llm.common import table, word_count
 from aerovox.llm.exact_dedup import exact_duplicates
 from aerovox.llm.line_dedup import dedup_lines
 from aerovox.llm.mixing import mix_sources
+from aerovox.llm.ngram_join import ngram_classes
 from aerovox.llm.sharding import shuffle_into_shards
 
 SHARDS = 16
@@ -31,6 +32,10 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -52,7 +57,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op5_levelled_line_runs, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op3_ngram_orders, op5_levelled_line_runs, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
