@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerovox.llm.bpe import token_digests
 from aerovox.llm.common import table, word_count
 from aerovox.llm.exact_dedup import exact_duplicates
 from aerovox.llm.line_dedup import dedup_lines
@@ -43,6 +45,10 @@ def op5_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -57,7 +63,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op3_ngram_orders, op5_levelled_line_runs, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op3_ngram_orders, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
