@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aerovox.llm.bpe import token_digests
 from aerovox.llm.common import table, word_count
 from aerovox.llm.exact_dedup import exact_duplicates
+from aerovox.llm.fingerprints import compare_with_next
 from aerovox.llm.line_dedup import dedup_lines
 from aerovox.llm.mixing import mix_sources
 from aerovox.llm.ngram_join import ngram_classes
@@ -34,6 +35,10 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op3_ngram_orders, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
