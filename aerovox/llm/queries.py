@@ -16,6 +16,7 @@ from aerovox.llm.line_dedup import dedup_lines
 from aerovox.llm.mixing import mix_sources
 from aerovox.llm.ngram_join import ngram_classes
 from aerovox.llm.sharding import shuffle_into_shards
+from aerovox.llm.warc import round_trip
 
 SHARDS = 16
 
@@ -43,6 +44,11 @@ def op3_ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -68,7 +74,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op4_zstd_warc, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
@@ -76,6 +82,18 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES: dict[str, str] = {
+    "op4_zstd_warc": """
+WITH bodies AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), firsts AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest,
+    min(page_id) OVER (PARTITION BY body) AS first
+  FROM bodies
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM firsts""",
     "op5_levelled_line_runs": f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
