@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aerovox.llm.bpe import token_digests
 from aerovox.llm.common import table, word_count
 from aerovox.llm.exact_dedup import exact_duplicates
+from aerovox.llm.extraction import main_text
 from aerovox.llm.fingerprints import compare_with_next
 from aerovox.llm.line_dedup import dedup_lines
 from aerovox.llm.mixing import mix_sources
@@ -60,6 +61,11 @@ def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_best_scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -74,7 +80,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op4_zstd_warc, op5_levelled_line_runs, op6_transducer_bpe, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op4_zstd_warc, op5_levelled_line_runs, op6_transducer_bpe, op7_best_scoring_run, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
