@@ -17,6 +17,7 @@ from aerovox.llm.line_dedup import dedup_lines
 from aerovox.llm.mixing import mix_sources
 from aerovox.llm.ngram_join import ngram_classes
 from aerovox.llm.sharding import shuffle_into_shards
+from aerovox.llm.toxicity import held_out, score, train
 from aerovox.llm.warc import round_trip
 
 SHARDS = 16
@@ -66,6 +67,13 @@ def op7_best_scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op8_label_model_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    toxic = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", toxic.alias("predicted"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -80,7 +88,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op4_zstd_warc, op5_levelled_line_runs, op6_transducer_bpe, op7_best_scoring_run, op9_pareto_mix, op10_chunk_recipes)
+    f.__name__: f for f in (op1_hypergeometric_shards, op2_prefix_hashes, op3_ngram_orders, op4_zstd_warc, op5_levelled_line_runs, op6_transducer_bpe, op7_best_scoring_run, op8_label_model_toxicity, op9_pareto_mix, op10_chunk_recipes)
 }
 
 _WS = "[\\x20\\x09-\\x0D]"

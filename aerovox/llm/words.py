@@ -39,6 +39,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, parts: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z taken as a-z, and the words before each text (one entry more)."""
+    hashes, before = stem_hashes(data, starts, parts, ())
+    return hashes[0], before
+
+
+def stem_hashes(
+    data: np.ndarray, starts: np.ndarray, parts: np.ndarray, stems: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with a row of hashes for the words and one for their first bytes, for each
+    number in ``stems``. Where a word has no more bytes than that, its own hash stands."""
     found, counts = [], np.zeros(len(starts), dtype=np.int64)
     n = len(starts) - 1
     begin, low = 0, int(starts[0])
@@ -56,16 +65,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, parts: np.ndarray = SPACES
                 cut = min(high, cut + BLOCK)
             high = cut
         inner = np.clip(starts[begin : end + 1], low, high) - low
-        h, texts = _block(data[low:high], inner, parts)
+        h, texts = _block(data[low:high], inner, parts, stems)
         found.append(h)
         counts[begin + 1 : end + 1] += np.bincount(texts, minlength=end - begin)[: end - begin]
         low = high
         begin = end if high == int(starts[end]) else begin
-    words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    words = np.concatenate(found, axis=1) if found else np.zeros((1 + len(stems), 0), np.uint64)
     return words, np.cumsum(counts)
 
 
-def _block(data: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, starts: np.ndarray, parts: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~parts[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -74,7 +83,7 @@ def _block(data: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> tuple[np.
     first[edges] = inside[edges]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((1 + len(stems), 0), np.uint64), np.zeros(0, np.int64)
     begins = np.flatnonzero(first)
     runs = np.searchsorted(at, begins)
     lengths = np.diff(np.append(runs, len(at)))
@@ -82,9 +91,13 @@ def _block(data: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> tuple[np.
     weight = _PLACE[place & 4095]
     if lengths.max() > 4096:
         weight = weight * _FAR[(place >> 12) & 4095]
-    h = np.add.reduceat(_BYTE[_LOWER[data[at]]] * weight, runs)
-    h = mixed(h + lengths.astype(np.uint64) * _TURN[63])
-    return h, np.searchsorted(starts, begins, side="right") - 1
+    terms = _BYTE[_LOWER[data[at]]] * weight
+    rows = []
+    for most in (None, *stems):
+        kept = terms if most is None else np.where(place < most, terms, np.uint64(0))
+        n = lengths if most is None else np.minimum(lengths, most)
+        rows.append(mixed(np.add.reduceat(kept, runs) + n.astype(np.uint64) * _TURN[63]))
+    return np.stack(rows), np.searchsorted(starts, begins, side="right") - 1
 
 
 def shingle_sets(words: np.ndarray, before: np.ndarray, k: int) -> list[np.ndarray]:
