@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerovox.llm.common import small_batches
+from aerovox.llm.common import sample_rows, small_batches
 
 #: Labelled pages that the weights are learned from, at most.
-TRAINING_PAGES = 2000
+TRAINING_PAGES = 1000
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,12 +229,9 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Weights:
-    """Weights from at most ``most`` labelled pages, chosen by a hash of their text."""
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(
-        F.xxhash64("html").alias("h"), F.col("html").alias("t")
-    )
-    few = labelled.where(F.octet_length("t") < 1 << 17).orderBy("h", "t").limit(most)
-    return learn([r.t for r in few.toLocalIterator()])
+    """Weights from at most ``most`` labelled pages, chosen by a hash."""
+    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.octet_length("html") < 1 << 16))
+    return learn([r.html for r in sample_rows(labelled, most).select("html").toLocalIterator()])
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

@@ -177,7 +177,7 @@ def compare_with_next(df: DataFrame, *, id_column: str = "doc_id", pieces: int |
     small_batches(spark)
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.where("id IS NOT NULL").approxQuantile("id", [i / n for i in range(1, n)], max(0.5 / n, 1e-4))
+    cuts = [] if n < 2 else docs.where("id IS NOT NULL").approxQuantile("id", [i / n for i in range(1, n)], max(0.5 / n, 1e-4))
     cuts = sorted({int(c) for c in cuts})
     # Ids are dealt out by how many cuts are at least as large, so larger ids come first.
     marks = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")

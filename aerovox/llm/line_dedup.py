@@ -40,7 +40,7 @@ class LineRuns:
     def add(self, fresh: DataFrame) -> DataFrame:
         """Writes a run of level 0, merges full levels, returns the run as written."""
         name = self._write(fresh)
-        written = self.spark.read.parquet(self._paths[name])
+        written = self.spark.read.schema("h1 long, h2 long, owner long").parquet(self._paths[name])
         self._push(0, name)
         return written
 
@@ -116,9 +116,10 @@ def dedup_lines(df: DataFrame, *, batches: int = 4, min_chars: int = 10, id_colu
     h1, h2 = two_hashes(F.coalesce(F.col("text"), F.lit("")))
     docs = df.withColumns({ident: F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)), t1: h1, t2: h2})
     lean = docs.select(F.col(ident).alias("_id"), F.col(t1).alias("_t1"), F.col(t2).alias("_t2"), "text")
-    cuts = df.where(F.col(id_column).isNotNull()).approxQuantile(
-        id_column, [i / batches for i in range(1, batches)], 0.01
-    )
+    cuts = []
+    if batches > 1:
+        shares = [i / batches for i in range(1, batches)]
+        cuts = df.where(F.col(id_column).isNotNull()).approxQuantile(id_column, shares, 0.01)
     cuts = sorted({int(c) for c in cuts})
     runs = LineRuns(spark)
     gone = []

@@ -109,7 +109,7 @@ def communication_matrix(
         ),
         lambda acc: acc["out"],
     )
-    return nodes.select(F.col("ps")[0]["p"].alias(part), runs.alias("_ends"))
+    return nodes.where(F.size("ps") > 0).select(F.get("ps", F.lit(0))["p"].alias(part), runs.alias("_ends"))
 
 
 def _multivariate(due: Column, total: Column, draws: Column, chance: list[Column]) -> Column:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerovox.llm.common import small_batches
+from aerovox.llm.common import sample_rows, small_batches
 from aerovox.session import scratch_path, store
 
 # Fixed values of the formats: magic numbers of frames, versions and line ends.
@@ -134,10 +134,10 @@ def frames(archive: bytes) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most ``SAMPLE_ROWS`` pages, chosen by a hash of their text. It changes
+    """A dictionary from at most ``SAMPLE_ROWS`` pages, chosen by a hash. It changes
     the size of the archives, never what is in them. Empty if the pages are too few or too short."""
-    chosen = pages.where(F.col("html") != "").select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("t"))
-    sample = [r.t.encode() for r in chosen.distinct().orderBy("h", "t").limit(SAMPLE_ROWS).collect()]
+    chosen = sample_rows(pages.where(F.col("html") != ""), SAMPLE_ROWS)
+    sample = [r.t.encode() for r in chosen.select(F.substring("html", 1, SAMPLE_BYTES).alias("t")).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
