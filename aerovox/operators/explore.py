@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def speed_histogram(flights: DataFrame, width: float = 50.0) -> DataFrame:
-    """Positions per speed interval of the given width."""
+    """Positions per speed interval of the given width. What is no finite speed, or too large to
+    have an interval, counts under a null bucket."""
     if width <= 0:
         raise ValueError(f"width must be positive, not {width}")
-    bucket = F.floor(F.col("velocity") / width).alias("bucket")
+    steps = F.col("velocity") / width
+    bucket = F.when(F.abs(steps) < 2.0**53, F.floor(steps)).alias("bucket")
     return (
         flights.where(F.col("velocity").isNotNull())
         .groupBy(bucket)
@@ -20,7 +22,7 @@ def speed_histogram(flights: DataFrame, width: float = 50.0) -> DataFrame:
         .select(
             "bucket",
             (F.col("bucket") * width).alias("speed_from"),
-            ((F.col("bucket") + 1) * width).alias("speed_to"),
+            ((F.col("bucket").cast("double") + 1) * width).alias("speed_to"),
             "num_events",
         )
     )

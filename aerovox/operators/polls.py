@@ -111,11 +111,10 @@ def _public_states(poll: Column) -> Column:
 
 def public_polls(lines: DataFrame) -> DataFrame:
     """One row per poll: ``time_ingest``, ``count`` and its public ``flights``. No shuffle."""
-    polls = parse_polls(lines).where(F.col("poll.time").isNotNull())
-    return polls.select(
-        epoch_timestamp(F.col("poll.time")).alias("time_ingest"),
-        _public_states(F.col("poll")).alias("flights"),
-    ).select("time_ingest", F.size("flights").cast("long").alias("count"), "flights")
+    row = F.struct(epoch_timestamp(F.col("poll.time")).alias("time_ingest"), _public_states(F.col("poll")).alias("flights"))
+    # One expression and no filter after it, or Spark would parse each line twice.
+    rows = parse_polls(lines).select(F.inline(F.when(F.col("poll.time").isNotNull(), F.array(row))))
+    return rows.select("time_ingest", F.size("flights").cast("long").alias("count"), "flights")
 
 
 # How the envelopes write timestamps.

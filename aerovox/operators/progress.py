@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from aerovox.limits import check_range
 from aerovox.operators.polls import ISO_UTC
-from aerovox.operators.sequence import UNFOLD, Numbered, totals_before, unfold
+from aerovox.operators.sequence import Numbered, totals_before, unfold
 from aerovox.operators.utterances import UTTERANCE_ORDER
 from aerovox.session import store
 
@@ -41,19 +41,19 @@ def chunk_progress(utterances: DataFrame, chunk_size: int = 100, total_utterance
     times = store(utterances.groupBy("timestamp").agg(F.count("*").alias("n")), "times")
     micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
     whole = times.agg(
-        F.count("*").alias("times"),
         F.sum("n").alias("n"),
         F.min("timestamp").alias("begin"),
         F.bool_and(micros % 1_000_000 == 0).alias("whole_seconds"),
     ).first()
-    counted = totals_before(times, whole.times, "timestamp", ["n"], bool(whole.whole_seconds))
+    # A missing time counts as the first one, when nothing has elapsed yet.
+    counted = totals_before(times, "timestamp", ["n"], bool(whole.whole_seconds))
     everything = min(whole.n or 0, total_utterances or whole.n or 0)
     before, upto = F.col("n_before"), F.least(F.col("n_before") + F.col("n"), F.lit(everything))
     # A time closes every chunk that ends among its own utterances, and the last one, if short.
     full = F.floor(upto / chunk_size)
     closed = F.when(upto == everything, F.ceil(upto / chunk_size)).otherwise(full)
     chunk, sent = F.col("chunk_number"), F.col("total_sent")
-    elapsed = _epoch(F.col("timestamp")) - _epoch(F.lit(whole.begin))
+    elapsed = F.coalesce(_epoch(F.col("timestamp")) - _epoch(F.lit(whole.begin)), F.lit(0.0))
     return (
         unfold(counted.where(before < everything), F.floor(before / chunk_size) + 1, closed, "chunk_number")
         .withColumn("total_sent", F.least(chunk * chunk_size, F.lit(everything)))
@@ -80,9 +80,7 @@ def chunk_envelopes(utterances: DataFrame, chunk_size: int = 100) -> DataFrame:
     numbered = Numbered(utterances, UTTERANCE_ORDER)
     end = F.col("position") + F.col("copies") - 1
     first, last = (F.floor((at - 1) / chunk_size) + 1 for at in (F.col("position"), end))
-    rows, many = numbered.rows, F.col("copies") > UNFOLD
-    parts = rows.where(~many).withColumn("chunk_number", F.explode(F.sequence(first, last)))
-    parts = parts.unionAll(unfold(rows.where(many), first, last, "chunk_number"))
+    parts = unfold(numbered.rows, first, last, "chunk_number")
     low = F.greatest(F.col("position"), (F.col("chunk_number") - 1) * chunk_size + 1)
     high = F.least(end, F.col("chunk_number") * chunk_size)
     part = F.struct(

@@ -22,9 +22,6 @@ from aerovox.session import store
 # A page that ends this early is a top-k; the k rows also bound what the driver receives.
 SHALLOW_ROWS = 10_000
 
-# So many rows of two or three numbers, some tens of megabytes, sort in one task without trouble.
-SMALL_ROWS = 1 << 20
-
 # Longest list of numbers that one row unfolds into at a time.
 UNFOLD = 1 << 20
 
@@ -34,24 +31,21 @@ def _earlier(df: DataFrame, order: str, measures: list[str], suffix: str, *withi
     return df.withColumns({f"{m}_{suffix}": F.coalesce(F.sum(m).over(frame), F.lit(0)) for m in measures})
 
 
-def totals_before(
-    per_time: DataFrame, rows: int, time: str, measures: list[str], whole_seconds: bool = False
-) -> DataFrame:
+def totals_before(per_time: DataFrame, time: str, measures: list[str], whole_seconds: bool = False) -> DataFrame:
     """Adds ``<measure>_before``, the sum of each measure over all strictly earlier times.
 
-    ``per_time`` has one row per ``time``, ``rows`` in all, and is read at each level, so
-    store it first. Up to ``SMALL_ROWS`` it needs no levels. Beyond, sums run over the times
-    of a second, the seconds of a day, and the days, so no window is larger than 10^6,
-    86,400 or the days on record. With ``whole_seconds`` the first level is not needed.
+    ``per_time`` has one row per ``time`` and is read at each level, so store it first. Sums run
+    over the times of a second, the seconds of a day, and the days, so no window is larger than
+    10^6, 86,400 or the days on record. With ``whole_seconds`` the first level is not needed. A
+    null time comes before all others.
     """
-    if rows <= SMALL_ROWS:
-        return _earlier(per_time, time, measures, "before")
 
     def sums(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
     def join_up(df: DataFrame, upper: DataFrame, key: str) -> DataFrame:
-        return df.join(upper.select(key, *[f"{m}_before" for m in measures]), key)
+        upper = upper.select(F.col(key).alias("_upper"), *[f"{m}_before" for m in measures])
+        return df.join(upper, F.col(key).eqNullSafe(F.col("_upper"))).drop("_upper")
 
     def add_up(df: DataFrame) -> DataFrame:
         return df.withColumns({f"{m}_before": F.col(f"{m}_before") + F.col(f"{m}_within") for m in measures})
@@ -185,15 +179,33 @@ def page(df: DataFrame, order: list[str], start: int, limit: int) -> DataFrame:
 
 
 def page_after(df: DataFrame, order: list[str], after: tuple | None, limit: int) -> DataFrame:
-    """The next ``limit`` rows behind the key ``after`` (``None`` starts at the top).
+    """The next ``limit`` rows behind the cursor ``after`` (``None`` starts at the top).
 
-    The last row's key is the next cursor, so any page costs one pruned top-k.
+    Every row has its own ``cursor``: its keys, a hash of the row, and which of the equal rows it
+    is. That of the last row leads to the next page, so a walk serves each row once, whatever
+    repeats. The keys alone are a cursor behind all rows that have them. Nulls come first. A page
+    costs one pruned top-k, which holds the equal rows served before as well.
     """
     check_range("limit", limit, 1, 1000)
+    keys = [*order, "_mark"]
+    rows = df.withColumn("_mark", F.xxhash64(*df.columns))
+    served, equal = 0, F.lit(False)
     if after is not None:
+        values = list(after)
+        if len(values) == len(keys) + 1:
+            served = values.pop()
         beyond, equal = F.lit(False), F.lit(True)
-        for name, value in zip(order, after, strict=True):
-            beyond = beyond | (equal & (F.col(name) > F.lit(value)))
-            equal = equal & (F.col(name) == F.lit(value))
-        df = df.where((F.col(order[0]) >= F.lit(after[0])) & beyond)
-    return df.orderBy(*order).limit(limit)
+        for name, value in zip(keys, values, strict=False):
+            missing = value is None
+            beyond = beyond | (equal & (F.col(name).isNotNull() if missing else F.col(name) > F.lit(value)))
+            equal = equal & (F.col(name).isNull() if missing else F.col(name).eqNullSafe(F.lit(value)))
+        if values[0] is not None:  # this one reaches the scan
+            rows = rows.where(F.col(order[0]) >= F.lit(values[0]))
+        rows = rows.where(beyond | equal if served else beyond)
+    top = rows.orderBy(*keys).limit(limit + served)
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    top = top.withColumn("_copy", copy.cast("long"))
+    if served:
+        top = top.where(~equal | (F.col("_copy") > served))
+    cursor = F.struct(*keys, "_copy").alias("cursor")
+    return top.orderBy(*keys, "_copy").limit(limit).select(*df.columns, cursor)

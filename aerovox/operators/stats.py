@@ -11,6 +11,9 @@ CALLS_PER_DAY = 500_000
 SECONDS_PER_DAY = 86_400
 
 
+# Names and aggregates of the three stored views.
+
+
 def flight_stats(flights: DataFrame) -> DataFrame:
     """Events, aircraft, extremes and the observed span in whole seconds, as one row."""
     return flights.agg(
@@ -52,8 +55,9 @@ def distribution(utterances: DataFrame, column: str) -> DataFrame:
 
 
 def load_estimate(utterances: DataFrame, calls_per_day: int = CALLS_PER_DAY) -> DataFrame:
-    """Mean conversation length and the rate and volume that many calls a day would need."""
-    mean = F.col("total_utterances") / F.col("conversations")
+    """Mean conversation length and the rate and volume that many calls a day would need; null
+    where there are no conversations."""
+    mean = F.col("total_utterances") / F.nullif(F.col("conversations"), F.lit(0))
     return utterances.agg(
         F.count("*").alias("total_utterances"), F.countDistinct("conversation_id").alias("conversations")
     ).select(

@@ -45,11 +45,10 @@ def _parse(lines: DataFrame) -> DataFrame:
 
 def parse_utterances(lines: DataFrame) -> DataFrame:
     """``value`` text lines -> utterances as landed; lines that are no JSON object give none."""
-    return (
-        _parse(lines)
-        .where(F.col("said").isNotNull() & F.col(f"said.{_CORRUPT}").isNull())
-        .select(*[F.col(f"said.{c}") for c in UTTERANCE_RAW.names])
-    )
+    # One expression and no filter after it, or Spark would parse each line twice.
+    good = F.col("said").isNotNull() & F.col(f"said.{_CORRUPT}").isNull()
+    row = F.struct(*[F.col(f"said.{c}") for c in UTTERANCE_RAW.names])
+    return _parse(lines).select(F.inline(F.when(good, F.array(row))))
 
 
 def rejected_utterances(lines: DataFrame) -> DataFrame:
@@ -80,8 +79,7 @@ def utterance_timing(turns: DataFrame, pause: float = PAUSE_SECONDS) -> DataFram
     conversation and their pauses. ``(conversation_id, utterance_id)`` is unique.
 
     The running sum has two levels, within and over blocks of ids, so one endless
-    conversation spreads over many tasks. Conversations of a single block, found by one probe
-    of the id column, need no second level.
+    conversation spreads over many tasks. Utterances without a conversation are one.
     """
     timed = turns.withColumns(
         {
@@ -93,19 +91,17 @@ def utterance_timing(turns: DataFrame, pause: float = PAUSE_SECONDS) -> DataFram
     before = Window.orderBy("utterance_id").rowsBetween(Window.unboundedPreceding, -1)
     within = before.partitionBy("conversation_id", "_block")
     start = F.coalesce(F.sum(step).over(within), F.lit(0.0))
-    if not turns.where(F.col("utterance_id") >= BLOCK_IDS).isEmpty():
-        earlier = (
-            Window.partitionBy("conversation_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = (
-            timed.groupBy("conversation_id", "_block")
-            .agg(F.sum(step).alias("_seconds"))
-            .withColumn("_offset", F.sum("_seconds").over(earlier))
-            .where(F.col("_offset").isNotNull())
-            .drop("_seconds")
-        )
-        timed = timed.join(offsets, ["conversation_id", "_block"], "left")
-        start = start + F.coalesce(F.col("_offset"), F.lit(0.0))
+    earlier = Window.partitionBy("conversation_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        timed.groupBy("conversation_id", "_block")
+        .agg(F.sum(step).alias("_seconds"))
+        .withColumn("_offset", F.sum("_seconds").over(earlier))
+        .where(F.col("_offset").isNotNull())
+        .select(F.col("conversation_id").alias("_call"), F.col("_block").alias("_of"), "_offset")
+    )
+    same = F.col("conversation_id").eqNullSafe(F.col("_call")) & F.col("_block").eqNullSafe(F.col("_of"))
+    timed = timed.join(offsets, same, "left")
+    start = start + F.coalesce(F.col("_offset"), F.lit(0.0))
     added = ["duration", "start_time", "end_time"]
     return (
         timed.withColumn("start_time", start)

@@ -17,11 +17,18 @@ from aerovox.streaming.incremental import (
     incremental_flight_stats,
     incremental_transcript_by_speaker,
 )
-from aerovox.streaming.ingest import finish, ingest_flights, ingest_rejected_polls, ingest_transcripts
+from aerovox.streaming.ingest import (
+    finish,
+    ingest_flights,
+    ingest_rejected_polls,
+    ingest_rejected_utterances,
+    ingest_transcripts,
+)
 
 FLIGHT_TABLE = "ingest_flights"
 TRANSCRIPT_TABLE = "ingest_transcripts"
 REJECTED_TABLE = "rejected_polls"
+REJECTED_UTTERANCES = "rejected_utterances"
 
 
 @dataclass(frozen=True)
@@ -116,6 +123,9 @@ def refresh_transcripts(
     rules: tuple[Rule, ...] = (),
     max_files_per_trigger: int | None = None,
 ) -> None:
-    """The same for landed utterances."""
+    """The same for landed utterances; lines that are none go to ``rejected_utterances``."""
     options = {"rules": rules, "max_files_per_trigger": max_files_per_trigger}
     _refresh(spark, database, ingest_transcripts, TRANSCRIPT_TABLE, landing, state, **options)
+    rejected = f"{database}.{REJECTED_UTTERANCES}"
+    files = {"max_files_per_trigger": max_files_per_trigger}
+    finish(ingest_rejected_utterances(spark, landing, f"{state}/{REJECTED_UTTERANCES}", table=rejected, **files))

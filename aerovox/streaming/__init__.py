@@ -11,6 +11,7 @@ from aerovox.streaming.ingest import (
     finish,
     ingest_flights,
     ingest_rejected_polls,
+    ingest_rejected_utterances,
     ingest_transcripts,
     resume_point,
 )
@@ -27,6 +28,7 @@ __all__ = [
     "incremental_transcript_by_speaker",
     "ingest_flights",
     "ingest_rejected_polls",
+    "ingest_rejected_utterances",
     "ingest_transcripts",
     "observed_breaches",
     "resume_point",

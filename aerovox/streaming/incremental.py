@@ -24,8 +24,8 @@ class IncrementalView:
 
     Batch n writes ``part/n``, replacing what a failed attempt left there. Every
     ``merge_every`` batches the latest merged state and the parts after it become
-    ``merged/n``, so a reader meets at most one state and ``merge_every`` parts, and the
-    work per batch does not grow with the age of the stream.
+    ``merged/n``, so a reader meets at most one state and ``merge_every`` parts. A batch
+    writes its own groups only; a merge rewrites all groups ever seen, so it grows with them.
     """
 
     def __init__(

@@ -7,7 +7,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from aerovox.operators.polls import rejected_polls
 from aerovox.operators.quality import Rule, enforce, observe
+from aerovox.operators.utterances import rejected_utterances
 from aerovox.sources import read_flight_stream, read_line_stream, read_utterance_stream
+from aerovox.streaming.summary import watch
 
 # Fixed value: shortest time between two polls.
 POLL_SPACING = "5 seconds"
@@ -32,6 +34,7 @@ def append_stream(
     """Appends each batch to a named table, to a folder, or to a named table in a folder."""
     if not (table or path):
         raise ValueError("name a table or a path to write to")
+    watch(rows.sparkSession, QUALITY_METRICS)
     writer = triggered(rows.writeStream.format("parquet").outputMode("append"), every)
     writer = writer.option("checkpointLocation", checkpoint)
     if path:
@@ -86,6 +89,20 @@ def ingest_transcripts(
     return append_stream(_checked(rows, rules), checkpoint, table, path, every)
 
 
+def ingest_rejected_utterances(
+    spark: SparkSession,
+    landing: str,
+    checkpoint: str,
+    table: str | None = None,
+    path: str | None = None,
+    max_files_per_trigger: int | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Keeps the landed lines that are no utterance, those with a mistyped field among them."""
+    rows = rejected_utterances(read_line_stream(spark, landing, max_files_per_trigger))
+    return append_stream(rows, checkpoint, table, path, every)
+
+
 def finish(query: StreamingQuery, seconds: float | None = None) -> StreamingQuery:
     """Waits for the end of the stream, or stops it after so many seconds."""
     if seconds is None:

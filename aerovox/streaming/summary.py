@@ -2,48 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+import threading
+import time
+from collections import defaultdict
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+#: Seconds to wait for the report of a batch that has ended.
+PATIENCE = 30.0
+
+
+class StreamTotals(StreamingQueryListener):
+    """Adds up the reports of every stream of a session as they come, so a stream may be of any
+    length: Spark itself keeps the latest hundred only."""
+
+    def __init__(self, metrics: str) -> None:
+        self.metrics = metrics
+        self._lock = threading.Lock()
+        self._sums: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        self._last: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
 
-from aerovox.streaming.ingest import QUALITY_METRICS
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
 
-KEPT_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        progress = event.progress
+        counts = progress.observedMetrics.get(self.metrics)
+        with self._lock:
+            sums = self._sums[str(progress.runId)]
+            sums[" rows read"] += progress.numInputRows
+            sums[" milliseconds"] += progress.batchDuration
+            for name, count in (counts.asDict() if counts else {}).items():
+                sums[name] += count or 0
+            self._last[str(progress.runId)] = progress.batchId
 
+    def of(self, query: StreamingQuery) -> dict[str, int]:
+        """The sums of one run, as soon as its latest batch is among them."""
+        run, last = str(query.runId), query.lastProgress
+        until = time.monotonic() + PATIENCE
+        while last is not None and self._last.get(run, -1) < last.batchId:
+            if time.monotonic() > until:
+                raise ValueError("the stream was started before its reports were watched")
+            time.sleep(0.05)
+        with self._lock:
+            return dict(self._sums[run])
 
-def _progress(query: StreamingQuery, spark) -> list:
-    progress = query.recentProgress
-    kept = int(spark.conf.get(KEPT_PROGRESS, "100"))
-    # Spark drops the oldest report as soon as it has as many as it may keep.
-    if len(progress) >= kept - 1:
-        raise ValueError(f"the stream may have dropped its first reports; raise {KEPT_PROGRESS} above {kept}")
-    return progress
 
+_watching: dict[str, StreamTotals] = {}
 
-def stream_summary(spark, query: StreamingQuery) -> DataFrame:
-    """Status, rows read, seconds spent and rows per second of this run, as one row."""
-    progress = _progress(query, spark)
-    total = sum(p.numInputRows for p in progress)
-    seconds = sum(p.batchDuration for p in progress) / 1000
+
+def watch(spark: SparkSession, metrics: str) -> StreamTotals:
+    """The totals of a session's streams, from the first call on."""
+    app = spark.sparkContext.applicationId
+    if app not in _watching:
+        _watching[app] = StreamTotals(metrics)
+        spark.streams.addListener(_watching[app])
+    return _watching[app]
+
+
+def stream_summary(spark: SparkSession, query: StreamingQuery, unit: str = "utterances") -> DataFrame:
+    """Status, landed lines read, seconds spent and lines per second of this run, as one row."""
+    sums = _totals(spark, query)
+    total, seconds = sums.get(" rows read", 0), sums.get(" milliseconds", 0) / 1000
     rate = total / seconds if seconds else 0.0
     row = Row(
         status="running" if query.isActive else "complete",
         total=total,
         elapsed_seconds=round(seconds, 2),
         throughput=round(rate, 2),
-        throughput_description=f"{round(rate, 0)} utterances/second",
+        throughput_description=f"{round(rate, 0)} {unit}/second",
     )
     layout = "status string, total long, elapsed_seconds double, throughput double, throughput_description string"
     return spark.createDataFrame([row], layout)
 
 
-def observed_breaches(spark, query: StreamingQuery) -> DataFrame:
+def observed_breaches(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Rows and breaches per rule that the stream counted while the rows flowed by."""
-    totals: dict[str, int] = {}
-    for progress in _progress(query, spark):
-        counts = progress.observedMetrics.get(QUALITY_METRICS)
-        for name, count in (counts.asDict() if counts else {}).items():
-            totals[name] = totals.get(name, 0) + (count or 0)
+    totals = {k: n for k, n in _totals(spark, query).items() if not k.startswith(" ")}
     rows = totals.pop("rows", 0)
     return spark.createDataFrame(
         [(name, rows, failed) for name, failed in totals.items()], "rule string, rows long, failed long"
     )
+
+
+def _totals(spark: SparkSession, query: StreamingQuery) -> dict[str, int]:
+    from aerovox.streaming.ingest import QUALITY_METRICS
+
+    return watch(spark, QUALITY_METRICS).of(query)

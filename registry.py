@@ -495,7 +495,26 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = fixtures.utterances(spark, sf_dir)
     cursor = (F.lit("2024-01-01 00:20:00").cast("timestamp"), "conv_000002", 0)
-    return sequence.page_after(rows, utterances.UTTERANCE_ORDER, cursor, 100)
+    return sequence.page_after(rows, utterances.UTTERANCE_ORDER, cursor, 100).drop("cursor")
+
+
+@query(
+    "utterances_rejected",
+    """
+    SELECT conversation_id, count(*) AS lines FROM utterances WHERE utterance_id % 3 IN (0, 1) GROUP BY conversation_id
+    """,
+)
+def _(spark, sf_dir):
+    said = fixtures.utterances(spark, sf_dir)
+    line, turn = F.to_json(F.struct(*said.columns)), F.col("utterance_id") % 3
+    damaged = (
+        F.when(turn == 0, F.expr("left(line, length(line) - 1)"))  # cut short
+        .when(turn == 1, F.regexp_replace("line", r'"utterance_id":(\d+)', '"utterance_id":"$1"'))  # a text, no number
+        .otherwise(F.col("line"))
+    )
+    rejected = utterances.rejected_utterances(said.withColumn("line", line).select(damaged.alias("value")))
+    call = F.regexp_extract("value", '"conversation_id":"([^"]*)"', 1).alias("conversation_id")
+    return rejected.groupBy(call).agg(F.count("*").alias("lines"))
 
 
 # --- transcript statistics ----------------------------------------------------------------

@@ -72,8 +72,11 @@ def test_profile_reads_each_column_once(sky):
     assert sorted(sum(scanned(explore.profile(sky)), [])) == sorted(sky.columns)
 
 
-def test_timing_is_one_shuffle(calls):
-    assert plan(utterances.utterance_timing(calls)).count("Exchange") == 1
+@pytest.mark.parametrize("build", [polls.poll_envelopes, polls.poll_labels, polls.flights_from_polls, utterances.parse_utterances])
+def test_lines_are_parsed_once(spark, build):
+    lines = spark.createDataFrame([("{}",)], "value string")
+    optimized = build(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json(") == 1
 
 
 def test_envelopes_do_not_shuffle(spark, small):

@@ -8,18 +8,17 @@ from aerovox.operators import progress, sequence
 from aerovox.operators.utterances import UTTERANCE_ORDER
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_totals_before(spark, small, monkeypatch):
-    monkeypatch.setattr(sequence, "SMALL_ROWS", small)
+def test_totals_before(spark):
     chance = random.Random(3)
     seconds = [chance.choice([0, 3600, 86_399, 86_400, 10**8]) for _ in range(50)]
     times = sorted({s * 10**6 + chance.randrange(3) * 400_000 for s in seconds})
     rows = spark.createDataFrame([(t, i + 1) for i, t in enumerate(times)], "us long, n int").select(
         "us", F.timestamp_micros("us").alias("t"), "n"
     )
-    got = sequence.totals_before(rows, len(times), "t", ["n"]).orderBy("us").collect()
-    assert [r.us for r in got] == times
-    assert [r.n_before for r in got] == [sum(range(1, i + 1)) for i in range(len(times))]
+    rows = rows.unionByName(rows.limit(1).select(F.lit(None).cast("long").alias("us"), F.lit(None).cast("timestamp").alias("t"), F.lit(1000).alias("n")))
+    got = sequence.totals_before(rows, "t", ["n"]).orderBy("us").collect()
+    assert [r.us for r in got] == [None, *times]
+    assert [r.n_before for r in got] == [0, *[1000 + sum(range(1, i + 1)) for i in range(len(times))]]
 
 
 def test_unfold(spark, monkeypatch):
@@ -89,6 +88,18 @@ def test_pages_by_key_walk_the_table(spark):
     assert seen == list("abcdzy")
 
 
+@pytest.mark.parametrize("limit", [1, 2, 5, 100])
+def test_pages_serve_ties_and_nulls_once(spark, limit):
+    data = [(None, "x", 1), (None, None, 2), (None, "x", 1), (1.0, "a", 1)] + [(2.0, "k", 0)] * 7 + [(2.0, "k", None), (3.0, None, 5)]
+    rows = spark.createDataFrame(data, "timestamp double, conversation_id string, utterance_id int").repartition(3)
+    cursor, seen = None, []
+    while page := sequence.page_after(rows, UTTERANCE_ORDER, cursor, limit).collect():
+        seen += [tuple(r)[:3] for r in page]
+        cursor = tuple(page[-1].cursor)
+    key = lambda r: [(v is not None, v) for v in r]
+    assert seen == sorted(data, key=key)
+
+
 def chunks_by_hand(seconds, size, total=0):
     seconds = sorted(seconds)
     everything = min(total or len(seconds), len(seconds))
@@ -103,17 +114,22 @@ def chunks_by_hand(seconds, size, total=0):
 
 
 @pytest.mark.parametrize("total", [0, 55, 5000])
-@pytest.mark.parametrize("small,unfold", [(1 << 20, 1 << 20), (0, 2)])
-def test_chunk_progress(spark, total, small, unfold, monkeypatch):
-    monkeypatch.setattr(sequence, "SMALL_ROWS", small)
+@pytest.mark.parametrize("unfold", [1 << 20, 2])
+def test_chunk_progress(spark, total, unfold, monkeypatch):
     monkeypatch.setattr(sequence, "UNFOLD", unfold)
     rows, pairs = mixed(spark)
     got = progress.chunk_progress(rows, 10, total).collect()
     assert sorted(map(tuple, got)) == chunks_by_hand([s for s, _ in pairs], 10, total)
 
 
-def test_chunk_progress_within_a_second(spark, monkeypatch):
-    monkeypatch.setattr(sequence, "SMALL_ROWS", 0)
+def test_chunk_progress_counts_missing_times(spark):
+    rows = utterances_at(spark, range(15)).withColumn("timestamp", F.when(F.second("timestamp") > 5, F.col("timestamp")))
+    rows = rows.unionByName(rows).unionByName(rows.where("timestamp IS NULL"))
+    got = sorted(tuple(r)[:3] for r in progress.chunk_progress(rows, 10).collect())
+    assert got == [(1, 10, 10), (2, 10, 20), (3, 10, 30), (4, 6, 36)]
+
+
+def test_chunk_progress_within_a_second(spark):
     seconds = [i / 4 for i in range(45)] + [86_400.5] * 13
     rows = utterances_at(spark, seconds, [f"c{i}" for i in range(len(seconds))])
     got = sorted(map(tuple, progress.chunk_progress(rows, 10).collect()))
@@ -140,7 +156,7 @@ def test_sampled_chunks(spark):
 @pytest.mark.parametrize("unfold", [1 << 20, 2])
 def test_chunk_envelopes_hold_every_utterance(spark, unfold, monkeypatch):
     monkeypatch.setattr(sequence, "UNFOLD", unfold)
-    monkeypatch.setattr(progress, "UNFOLD", unfold)
+    monkeypatch.setattr(sequence, "UNFOLD", unfold)
     rows, pairs = mixed(spark)
     got = progress.chunk_envelopes(rows, 10).orderBy("chunk_number")
     said = got.select(F.from_json("envelope", "utterances array<struct<conversation_id string>>").alias("e"))

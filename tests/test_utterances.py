@@ -136,6 +136,19 @@ def test_load_estimate(spark):
     assert tuple(stats.load_estimate(rows).first()) == (4, 2, 2.0, 11, 1_000_000)
 
 
+def test_load_estimate_of_nothing(spark):
+    assert tuple(stats.load_estimate(speakers(spark, "a").where("false")).first()) == (0, 0, None, None, None)
+
+
+def test_timing_does_not_depend_on_other_rows(spark):
+    said = [("a", i, "one") for i in (-1, 0, 1)] + [(None, i, "one two") for i in (1, 5000)]
+    alone = {(r.utterance_id, r.start_time) for r in utterances.utterance_timing(turns(spark, said[:3])).collect()}
+    got = utterances.utterance_timing(turns(spark, [*said, ("a", 5000, "one")])).collect()
+    assert alone == {(-1, 0.0), (0, 1.0), (1, 2.0)}
+    assert {(r.utterance_id, r.start_time) for r in got if r.conversation_id == "a"} == {*alone, (5000, 3.0)}
+    assert {(r.utterance_id, r.start_time) for r in got if r.conversation_id is None} == {(1, 0.0), (5000, 1.5)}
+
+
 def test_distribution(spark):
     got = stats.distribution(speakers(spark, "a", "b", "a"), "speaker").collect()
     assert {r.speaker: r["count"] for r in got} == {"a": 2, "b": 1}
