@@ -6,13 +6,13 @@ from aerovox.sources.files import (
     read_lines,
     read_utterance_stream,
     read_utterances,
+    utterances_in,
     write_utterances,
 )
-from aerovox.sources.formats import FlightStates, Utterances, register
+from aerovox.sources.formats import LandedLines, register
 
 __all__ = [
-    "FlightStates",
-    "Utterances",
+    "LandedLines",
     "flights_in",
     "read_flight_stream",
     "read_flights",
@@ -21,5 +21,6 @@ __all__ = [
     "read_utterance_stream",
     "read_utterances",
     "register",
+    "utterances_in",
     "write_utterances",
 ]

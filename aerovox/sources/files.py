@@ -31,6 +31,11 @@ def flights_in(lines: DataFrame, region: str | None) -> DataFrame:
     return in_region(flights_from_polls(lines), region)
 
 
+def utterances_in(lines: DataFrame) -> DataFrame:
+    """Utterances of landed lines, with their defaults."""
+    return normalize(parse_utterances(lines))
+
+
 def read_flights(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
     return flights_in(read_lines(spark, path), region)
 
@@ -42,7 +47,7 @@ def read_flight_stream(
 
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
-    return normalize(parse_utterances(read_lines(spark, path)))
+    return utterances_in(read_lines(spark, path))
 
 
 def read_utterance_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:

@@ -1,166 +1,75 @@
-"""Named formats: ``flight_states`` and ``utterances``, for batch and stream.
+"""Named format ``landed_lines``: the text lines of a folder, for batch and stream.
 
-``spark.read.format("flight_states").option("region", "EUROPE").load(folder)``
+``flights_in(spark.read.format("landed_lines").load(folder), "EUROPE")``
 
-These serve users who want a format name and no decoding step. Each task reads its own
-byte ranges and hands over Arrow batches. The readers in ``files`` do the same work inside
-Spark's generated code and are the better choice for volume.
+For file systems that pyarrow reaches and Spark doesn't. It hands lines to Spark and no more: the
+operators decode them as they do for Spark's own text reader, which is the better choice wherever
+it works, since it splits large files and bounds a micro-batch.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Iterator
-from datetime import UTC, datetime
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader
-from pyspark.sql.types import StructType
-
-from aerovox.functions.casts import EPOCH_MAX, EPOCH_MIN
-from aerovox.operators.utterances import DEFAULTS
-from aerovox.regions import Box, region_box
-from aerovox.schemas import FLIGHT, STATE_WIDTH, UTTERANCE
-from aerovox.sources.lines import LinePartition, cut, landed_files, read_pieces
-
-BATCH_ROWS = 10_000
-PARTITION_BYTES = 128 << 20
-
-
-def _number(value):
-    try:
-        return None if value is None else float(value)
-    except (ValueError, TypeError, OverflowError):
-        return None
-
-
-def _whole(value):
-    try:
-        number = None if value is None else int(value)
-    except (ValueError, TypeError, OverflowError):
-        return None
-    return number if number is not None and -(2**31) <= number < 2**31 else None
-
-
-def _truth(value):
-    return None if value is None else bool(value)
-
-
-def _text(value):
-    return value if value is None or isinstance(value, str) else json.dumps(value)
-
-
-def _moment(value):
-    seconds = _number(value)
-    return round(seconds * 1e6) if seconds is not None and EPOCH_MIN <= seconds <= EPOCH_MAX else None
-
-
-def _wholes(value):
-    return [_whole(v) for v in value] if isinstance(value, list) else None
-
-
-# Conversion and Arrow type by column type.
-_CONVERT: dict[str, Callable] = {
-    "string": _text,
-    "timestamp": _moment,
-    "double": _number,
-    "boolean": _truth,
-    "array<int>": _wholes,
-    "int": _whole,
-}
-_ARROW = {
-    "string": pa.string(),
-    "timestamp": pa.timestamp("us", tz="UTC"),
-    "double": pa.float64(),
-    "boolean": pa.bool_(),
-    "array<int>": pa.list_(pa.int32()),
-    "int": pa.int32(),
-}
-
-
-def _flight_rows(lines: Iterable[bytes], box: Box | None) -> Iterator[tuple]:
-    converters = [_CONVERT[f.dataType.simpleString()] for f in FLIGHT.fields[1:]]
-    longitude, latitude = FLIGHT.names.index("longitude"), FLIGHT.names.index("latitude")
-    for line in lines:
-        try:
-            poll = json.loads(line)
-            time, states = poll["time"], poll.get("states") or []
-        except (ValueError, TypeError, KeyError, AttributeError):
-            continue
-        if type(time) is not int:
-            continue
-        polled = _moment(time)
-        for state in states:
-            if not isinstance(state, list) or len(state) < STATE_WIDTH:
-                continue
-            if state[0] is None or state[longitude - 1] is None or state[latitude - 1] is None:
-                continue
-            row = (polled, *[convert(value) for convert, value in zip(converters, state)])
-            if box is None or _inside(box, row[latitude], row[longitude]):
-                yield row
-
-
-def _inside(box: Box, latitude: float | None, longitude: float | None) -> bool:
-    if latitude is None or longitude is None:
-        return False
-    return box.lamin <= latitude <= box.lamax and box.lomin <= longitude <= box.lomax
-
-
-def _utterance_time(value, now: int) -> int:
-    try:
-        moment = datetime.fromisoformat(value)
-    except (ValueError, TypeError):
-        return now
-    moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
-    return round(moment.timestamp() * 1e6)
-
-
-def _said(value, kind: str):
-    """A landed value as its column takes it; raises where the types do not fit."""
-    if value is None or kind == "string":
-        return _text(value)
-    if type(value) is int or (kind == "double" and type(value) is float):
-        value = _CONVERT[kind](value)
-        if value is not None:
-            return value
-    raise TypeError(f"{value!r} is no {kind}")
-
-
-def _utterance_rows(lines: Iterable[bytes]) -> Iterator[tuple]:
-    now = round(datetime.now(UTC).timestamp() * 1e6)
-    for line in lines:
-        try:
-            said = json.loads(line)
-            row = {f.name: _said(said.get(f.name), f.dataType.simpleString()) for f in UTTERANCE.fields[1:]}
-        except (ValueError, TypeError, AttributeError):
-            continue
-        filled = [DEFAULTS.get(name) if value is None else value for name, value in row.items()]
-        yield (_utterance_time(said.get("timestamp"), now), *filled)
-
-
-def _batches(rows: Iterable[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
-    layout = pa.schema([pa.field(f.name, _ARROW[f.dataType.simpleString()], f.nullable) for f in schema])
-    pending: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array(values, kind) for values, kind in zip(zip(*pending), layout.types)]
-        return pa.RecordBatch.from_arrays(columns, schema=layout)
-
-    for row in rows:
-        pending.append(row)
-        if len(pending) == BATCH_ROWS:
-            yield batch()
-            pending = []
-    if pending:
-        yield batch()
-
-
-class _LineSource(DataSource):
-    """Shared by both formats: the options and the two readers."""
-
-    layout: StructType
-    known = {"path", "partition_bytes"}
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+READ_BYTES = 1 << 20
+#: A stream reads a file when it is this many seconds old, so that none that lands meanwhile, on a
+#: machine whose clock is a little late, is older than what has been read.
+SETTLE_SECONDS = 5.0
+
+
+@dataclass
+class LandedFile(InputPartition):
+    """One file, or none: Spark wants one partition at least."""
+
+    path: str | None
+
+
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of an absolute path or URI; ``s3a`` is Spark's name for ``s3``."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def landed_files(folder: str) -> list[tuple[int, str]]:
+    """Time of landing and path of each file, sub-folders included, hidden and marker files not."""
+    system, root = open_folder(folder)
+    found = []
+    for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
+        parts = info.path[len(root) :].strip("/").split("/")
+        if info.type == fs.FileType.File and info.size and not any(p[0] in "._" for p in parts):
+            found.append((info.mtime_ns or 0, info.path))
+    return sorted(found)
+
+
+def read_landed(folder: str, path: str | None) -> Iterator[pa.RecordBatch]:
+    """The lines of one file, whatever its name says it is compressed with, by blocks."""
+    if path is None:
+        return
+    system, _ = open_folder(folder)
+    rest = b""
+    with system.open_input_stream(path, compression="detect") as file:
+        while block := file.read(READ_BYTES):
+            *lines, rest = (rest + block).split(b"\n")
+            yield _batch(lines)
+    if rest:
+        yield _batch([rest])
+
+
+def _batch(lines: list[bytes]) -> pa.RecordBatch:
+    texts = [line.removesuffix(b"\r").decode("utf-8", "replace") for line in lines]
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+
+class LandedLines(DataSource):
+    """Options: ``path``, and ``settle_seconds`` for streams."""
+
+    known = {"path", "settle_seconds"}
 
     def __init__(self, options):
         super().__init__(options)
@@ -170,94 +79,56 @@ class _LineSource(DataSource):
         if "path" not in options:
             raise ValueError("option path is missing")
         self.folder = options["path"]
-        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
-        if self.partition_bytes < 1:
-            raise ValueError("partition_bytes must be positive")
-
-    def schema(self) -> StructType:
-        return self.layout
+        self.settle = float(options.get("settle_seconds", SETTLE_SECONDS))
 
-    def rows(self, lines: Iterable[bytes]) -> Iterator[tuple]:
-        raise NotImplementedError
+    @classmethod
+    def name(cls) -> str:
+        return "landed_lines"
 
-    def batches(self, partition: LinePartition) -> Iterator[pa.RecordBatch]:
-        return _batches(self.rows(read_pieces(self.folder, partition)), self.layout)
+    def schema(self) -> str:
+        return "value string"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _BatchReader(self)
+    def reader(self, schema) -> DataSourceReader:
+        return _BatchReader(self.folder)
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _StreamReader(self)
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _StreamReader(self.folder, self.settle)
 
 
 class _BatchReader(DataSourceReader):
-    def __init__(self, source: _LineSource):
-        self.source = source
+    def __init__(self, folder: str):
+        self.folder = folder
 
     def partitions(self):
-        return cut(landed_files(self.source.folder), self.source.partition_bytes)
+        return [LandedFile(path) for _, path in landed_files(self.folder)] or [LandedFile(None)]
 
     def read(self, partition):
-        return self.source.batches(partition)
+        return read_landed(self.folder, partition.path)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """The offset is the name of the newest file read, so a repeated batch reads the same files.
+    """The offset is the time of landing and path of the newest file read."""
 
-    Files must arrive complete and under increasing names, such as names that start with
-    their landing time.
-    """
+    def __init__(self, folder: str, settle: float):
+        self.folder = folder
+        self.settle = settle
 
-    def __init__(self, source: _LineSource):
-        self.source = source
+    def initialOffset(self):  # noqa: N802
+        return {"time": 0, "path": ""}
 
-    def initialOffset(self):
-        return {"after": ""}
-
-    def latestOffset(self):
-        files = landed_files(self.source.folder)
-        return {"after": files[-1].base_name if files else ""}
+    def latestOffset(self):  # noqa: N802
+        until = time.time_ns() - round(self.settle * 1e9)
+        settled = [f for f in landed_files(self.folder) if f[0] <= until]
+        return dict(zip(("time", "path"), settled[-1], strict=True)) if settled else self.initialOffset()
 
     def partitions(self, start, end):
-        files = [f for f in landed_files(self.source.folder) if start["after"] < f.base_name <= end["after"]]
-        return cut(files, self.source.partition_bytes)
+        low, high = ((o["time"], o["path"]) for o in (start, end))
+        return [LandedFile(f[1]) for f in landed_files(self.folder) if low < f <= high] or [LandedFile(None)]
 
     def read(self, partition):
-        return self.source.batches(partition)
-
-
-class FlightStates(_LineSource):
-    """Landed polls as valid flights; option ``region`` keeps one region."""
-
-    layout = FLIGHT
-    known = _LineSource.known | {"region"}
-
-    def __init__(self, options):
-        super().__init__(options)
-        self.box = region_box(options["region"]) if "region" in options else None
-
-    @classmethod
-    def name(cls) -> str:
-        return "flight_states"
-
-    def rows(self, lines):
-        return _flight_rows(lines, self.box)
-
-
-class Utterances(_LineSource):
-    """Landed utterances with their defaults filled in."""
-
-    layout = UTTERANCE
-
-    @classmethod
-    def name(cls) -> str:
-        return "utterances"
-
-    def rows(self, lines):
-        return _utterance_rows(lines)
+        return read_landed(self.folder, partition.path)
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to the session."""
-    for source in (FlightStates, Utterances):
-        spark.dataSource.register(source)
+    """Makes the format known to the session."""
+    spark.dataSource.register(LandedLines)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from aerovox.operators.stats import spoken_by
 from aerovox.schemas import FLIGHT, UTTERANCE
-from aerovox.sources.lines import open_folder
+from aerovox.sources.formats import open_folder
 from aerovox.streaming.ingest import triggered
 
 # A measure of one group, and how the measures of two batches combine.

@@ -1,13 +1,12 @@
+import gzip
 import json
 import os
 
 import pytest
 from helpers import poll, state
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 
 from aerovox import sources, streaming
-from aerovox.sources import lines
+from aerovox.sources import formats
 
 
 def land(folder, name, *rows):
@@ -31,35 +30,37 @@ def same(left, right):
     return left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
 
 
-@pytest.mark.parametrize("size", [17, 1000, 1 << 27])
-def test_format_gives_what_the_reader_gives(spark, landing, size):
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_format_gives_what_the_reader_gives(spark, landing, block, monkeypatch):
+    monkeypatch.setattr(formats, "READ_BYTES", block)
+    batches = [b for _, path in formats.landed_files(landing) for b in formats.read_landed(landing, path)]
+    lines = [v.as_py() for b in batches for v in b.column(0)]
+    assert sorted(lines) == sorted(r.value for r in sources.read_lines(spark, landing).collect())
     sources.register(spark)
-    scanned = spark.read.format("flight_states").option("partition_bytes", size).load(landing)
+    scanned = sources.flights_in(spark.read.format("landed_lines").load(landing), None)
     assert scanned.count() == 31
     assert same(scanned, sources.read_flights(spark, landing))
+    assert sources.flights_in(spark.read.format("landed_lines").load(landing), "africa").count() == 30
+    with pytest.raises(ValueError):
+        sources.read_flights(spark, landing, "MARS")
 
 
-def test_small_pieces_are_many_partitions(spark, landing):
+def test_compressed_files_sub_folders_and_nothing(spark, tmp_path):
     sources.register(spark)
-    scan = spark.read.format("flight_states").option("partition_bytes", 500)
-    assert scan.load(landing).rdd.getNumPartitions() > 5
+    assert spark.read.format("landed_lines").load(str(tmp_path)).count() == 0
+    os.makedirs(tmp_path / "day=1" / "_skipped")
+    with gzip.open(tmp_path / "day=1" / "x.txt.gz", "wt") as file:
+        file.write("one\ntwo")
+    land(str(tmp_path / "day=1" / "_skipped"), "y", "hidden")
+    land(str(tmp_path), "z", "three\r", "", "ä")
+    got = sorted(r.value for r in spark.read.format("landed_lines").load(str(tmp_path)).collect())
+    assert got == ["", "one", "three", "two", "ä"]
 
 
-def test_region_option(spark, landing):
+def test_bad_options(spark, landing):
     sources.register(spark)
-    scanned = spark.read.format("flight_states").option("region", "africa").load(landing)
-    assert scanned.count() == 30  # latitudes 0 to 29, the null longitude is nowhere
-    assert same(scanned, sources.read_flights(spark, landing, "AFRICA"))
-
-
-@pytest.mark.parametrize("option", [{"region": "MARS"}, {"interval": "5"}, {"partition_bytes": "0"}])
-def test_bad_options(spark, landing, option):
-    sources.register(spark)
-    with pytest.raises(Exception, match="region|unknown options|positive"):
-        spark.read.format("flight_states").options(**option).load(landing)
-    if "region" in option:
-        with pytest.raises(ValueError):
-            sources.read_flights(spark, landing, "MARS")
+    with pytest.raises(Exception, match="unknown options"):
+        spark.read.format("landed_lines").option("interval", "5").load(landing)
 
 
 def test_utterances(spark, tmp_path):
@@ -68,7 +69,7 @@ def test_utterances(spark, tmp_path):
     odd = [{"speaker": None, "confidence": 2}, {"speaker": 7}, {"confidence": "high"}, {"utterance_id": 1.5}]
     odd += [{"utterance_id": 2**40}, {"end_time": True}]
     land(str(tmp_path), "1.jsonl", json.dumps(said), "nope", "[]", *[json.dumps({**said, **o}) for o in odd])
-    scanned = spark.read.format("utterances").load(str(tmp_path))
+    scanned = sources.utterances_in(spark.read.format("landed_lines").load(str(tmp_path)))
     assert scanned.count() == 3
     assert same(scanned, sources.read_utterances(spark, str(tmp_path)))
 
@@ -84,7 +85,8 @@ def test_rows_per_file_bound_a_batch(spark, tmp_path):
 
 def run(spark, folder, state_dir, table):
     query = (
-        spark.readStream.format("flight_states").load(folder).writeStream.format("parquet")
+        sources.flights_in(spark.readStream.format("landed_lines").option("settle_seconds", 0).load(folder), None)
+        .writeStream.format("parquet")
         .option("path", table).option("checkpointLocation", state_dir).trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -97,32 +99,10 @@ def test_stream_resumes_after_the_last_file(spark, landing, tmp_path_factory):
     args = (spark, landing, f"{work}/state", f"{work}/table")
     assert run(*args) == 31
     assert run(*args) == 31
-    land(landing, "0003.txt", poll(state()))
+    land(landing, "0000.txt", poll(state()))  # a name before all that were read
     assert run(*args) == 32
 
 
-@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(
-    files=st.lists(st.lists(st.text("ab", max_size=6), min_size=1, max_size=6), min_size=1, max_size=3),
-    size=st.integers(1, 9),
-    last_break=st.booleans(),
-    block=st.integers(1, 5),
-)
-def test_ranges_give_each_line_once(tmp_path_factory, files, size, last_break, block):
-    folder = str(tmp_path_factory.mktemp("lines"))
-    expected = []
-    for i, rows in enumerate(files):
-        text = "\n".join(rows) + ("\n" if last_break else "")
-        with open(f"{folder}/{i}", "w") as file:
-            file.write(text)
-        expected += [line.encode() for line in text.split("\n")[:-1]]
-        if text.split("\n")[-1]:
-            expected.append(text.split("\n")[-1].encode())
-    whole, lines.READ_BYTES = lines.READ_BYTES, block
-    try:
-        parts = lines.cut(lines.landed_files(folder), size)
-        assert all(sum(p.end - p.start for p in part.pieces) <= size for part in parts)
-        got = [line for part in parts for line in lines.read_pieces(folder, part)]
-    finally:
-        lines.READ_BYTES = whole
-    assert sorted(got) == sorted(expected)
+def test_stream_waits_until_a_file_has_settled(landing):
+    assert formats._StreamReader(landing, 60).latestOffset() == {"time": 0, "path": ""}
+    assert formats._StreamReader(landing, 0).latestOffset()["path"].endswith("0002.txt")
