@@ -14,6 +14,7 @@ lost, and pairs within a class are never listed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 from aerovox.llm.common import small_batches
 from aerovox.llm.components import components
 from aerovox.llm.words import mixed, shingle_sets, text_bytes, word_hashes
-from aerovox.session import store
+from aerovox.session import scratch_path, store
 
 #: A token in more sketches than this comes behind all rarer ones in the first order.
 COMMON = 64
 #: Rounds of comparing with one pivot per bucket before the rest is compared in full.
 ROUNDS = 3
 #: Rows of a narrow table up to which it is broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
 
@@ -83,7 +84,7 @@ def _whole_sets(k: int, percent: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = _sets(batch, k)
+            sets = list({s.tobytes(): s for s in _sets(batch, k)}.values())
             marks = [_signature(s) for s in sets]
             orders = []
             for salt in _SALTS:
@@ -135,8 +136,8 @@ def ngram_classes(df: DataFrame, *, words: int = 5, percent: int = 80, id_column
     classes = held.where("n > 0").groupBy("s1", "s2", "n").agg(first.alias("f"))
     classes = store(classes.select("s1", "s2", "n", F.col("f.id").alias("id"), F.col("f.row").alias("v")), "classes")
 
-    members, sets = _members(docs, held, classes, words, percent)
-    labels = _united(members, sets, percent)
+    members, prefixes, sets = _members(docs, held, classes, words, percent)
+    labels = _united(members, prefixes, sets, percent)
 
     linked = labels.where("v <> l")
     of = classes.join(linked, "v", "left").select("s1", "s2", "n", "id", F.coalesce("l", "v").alias("l"))
@@ -152,22 +153,30 @@ def ngram_classes(df: DataFrame, *, words: int = 5, percent: int = 80, id_column
 
 def _members(
     docs: DataFrame, held: DataFrame, classes: DataFrame, words: int, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """Buckets (t, v, n, r1, r2, r3) of classes by prefix token, and the sets (v, n, tokens) of all
-    classes in them. r1 to r3: prefix tokens under each order that other classes share."""
-    low = held.where("n > 0").select("row", "n", F.size("low").alias("e"), F.posexplode("low").alias("pos", "t"))
-    counts = store(low.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "token-counts")
-    shared = low.join(counts, "t").join(classes.select(F.col("v").alias("row")), "row")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buckets (t, v, n) of classes by prefix token under the first order, prefixes under the other
+    two (v, r2, r3), the tokens that several classes have only, and the sets (v, n, tokens)."""
+    reps = _small(classes.select("v"))
+    low = held.join(reps, F.col("row") == F.col("v"), "left_semi").select(
+        F.col("row").alias("v"), F.posexplode("low").alias("pos", "t")
+    )
+    counts = _small(store(low.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "token-counts"))
+    p = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("long")
+    # Two similar sets share more than one token of their sketches: as many as the shorter sketch is
+    # longer than its prefix, and one. The smallest partner has ``percent`` hundredths of the size.
+    m = F.ceil(F.col("n") * percent / 100)
+    q = (m - F.floor((m * percent + 99) / 100) + 1).cast("long")
+    needed = F.least(m, F.floor(q * 3 / 2) + 1) - q + 1
     # Rank among the rarer tokens: the position without the common ones in front.
     common = (F.col("c") > COMMON).cast("int")
-    along = Window.partitionBy("row").orderBy("pos")
-    ranked = shared.withColumn("front", F.sum(common).over(along)).withColumn(
-        "all", F.sum(common).over(Window.partitionBy("row"))
+    along, whole = Window.partitionBy("v").orderBy("pos"), Window.partitionBy("v")
+    sizes = held.select(F.col("row").alias("v"), "n", F.size("low").alias("e"))
+    shared = low.join(counts, "t").join(sizes, "v").withColumns(
+        {"front": F.sum(common).over(along), "all": F.sum(common).over(whole), "shared": F.count("*").over(whole)}
     )
-    p = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("long")
     ranked = store(
-        ranked.select(
-            F.col("row").alias("v"),
+        shared.where(F.col("shared") >= needed).select(
+            "v",
             "t",
             (F.col("e") - F.col("all") < F.least(p, F.col("n"))).alias("short"),
             ((F.col("c") <= COMMON) & (F.col("pos") - F.col("front") < p)).alias("in"),
@@ -176,25 +185,35 @@ def _members(
     )
     # Where the sketch has too few of the rarer tokens, the prefix is taken from the whole set.
     short = ranked.where("short").select("v").distinct()
-    short_sets = _fetched(docs, short, classes, words, percent)
+    short_sets = store(_fetched(docs, short, classes, words, percent), "short-sets")
     full = short_sets.select("v", "n", F.explode("tokens").alias("t"))
     order = Window.partitionBy("v").orderBy(F.coalesce("c", F.lit(0)), "t")
     late = full.join(counts.where(F.col("c") > COMMON), "t", "left").withColumn("place", F.row_number().over(order))
     late = store(late.where(F.col("place") <= p).select("v", "t"), "late")
     # Such a prefix may hold tokens that one other sketch has, so they weren't counted as shared.
     new = _small(store(late.select("t").distinct().join(counts, "t", "left_anti"), "late-tokens"))
-    missed = low.join(new, "t").join(classes.select(F.col("v").alias("row")), "row").select(F.col("row").alias("v"), "t")
+    missed = low.join(new, "t").select("v", "t")
     early = ranked.where("in").select("v", "t").unionByName(missed)
     kept = store(_shared(early.join(short, "v", "left_anti").unionByName(late), "r1"), "prefixes")
 
     others = kept.select("v").join(short, "v", "left_anti")
-    sets = short_sets.unionByName(_fetched(docs, others, classes, words, percent))
+    sets = _bucketed(short_sets.unionByName(_fetched(docs, others, classes, words, percent)))
     for name in ("p2", "p3"):
         other = sets.join(kept.select("v"), "v", "left_semi").select("v", F.explode(name).alias("t"))
         kept = kept.join(_shared(other, "r" + name[1]), "v")
-    kept = kept.join(sets.select("v", "n"), "v")
-    members = store(kept.select(F.explode("r1").alias("t"), "v", "n", "r1", "r2", "r3"), "members")
-    return members, sets.select("v", "n", "tokens")
+    kept = store(kept.join(sets.select("v", "n").distinct(), "v"), "kept-prefixes")
+    members = store(kept.select(F.explode("r1").alias("t"), "v", "n"), "members")
+    return members, kept.select("v", "r2", "r3"), sets.select("v", "n", "tokens")
+
+
+def _bucketed(sets: DataFrame) -> DataFrame:
+    """The sets by vertex in a bucketed table, so that no join moves them again."""
+    spark = sets.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"token_sets_{uuid.uuid4().hex}"
+    writer = sets.repartition(n, "v").write.bucketBy(n, "v").sortBy("v")
+    writer.option("path", scratch_path(spark, "token-sets")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _fetched(docs: DataFrame, vertices: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -205,10 +224,8 @@ def _fetched(docs: DataFrame, vertices: DataFrame, classes: DataFrame, words: in
     whole = texts.select("text").mapInArrow(
         _whole_sets(words, percent), "s1 long, s2 long, n long, tokens array<long>, p2 array<long>, p3 array<long>"
     )
-    sets = store(whole.join(wanted, ["s1", "s2", "n"]).select("v", "n", "tokens", "p2", "p3"), "sets")
-    # Rows that share id and text bring a set more than once; its copies are alike.
-    twice = _small(store(sets.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v"), "twice"))
-    return sets.join(twice, "v", "left_anti").unionByName(sets.join(twice, "v", "left_semi").dropDuplicates(["v"]))
+    # Rows alike in id and text may bring a set more than once, which adds nothing.
+    return whole.join(wanted, ["s1", "s2", "n"]).select("v", "n", "tokens", "p2", "p3")
 
 
 def _shared(prefixes: DataFrame, name: str) -> DataFrame:
@@ -223,7 +240,7 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _united(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _united(members: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (v, l) of the classes of ``members``, equal where links lead from one to another."""
     labels = store(members.select("v").distinct().withColumn("l", F.col("v")), "labels")
     for turn in range(ROUNDS):
@@ -231,7 +248,7 @@ def _united(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         labels, found = _unite(labels, pairs, sets, percent)
         if not found:
             break
-    labels, _ = _unite(labels, _rest_pairs(members, labels, percent), sets, percent)
+    labels, _ = _unite(labels, _rest_pairs(members, prefixes, labels, percent), sets, percent)
     return labels
 
 
@@ -272,7 +289,7 @@ def _pivot_pairs(members: DataFrame, labels: DataFrame, turn: int, percent: int)
     return best.select(F.col("v").alias("x"), F.col("b.w").alias("y"))
 
 
-def _rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that pass the filters of every order.
 
     In each bucket the largest class stands against the others only, never against itself.
@@ -280,16 +297,15 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     rows = store(members.join(labels, "v"), "labelled")
     parts = rows.groupBy("t", "l").agg(F.count("*").alias("c"))
     main = parts.groupBy("t").agg(F.max(F.struct("c", "l")).alias("b"), F.count("*").alias("k")).where("k > 1")
-    rows = rows.join(main.select("t", F.col("b.l").alias("main")), "t")
-    few = rows.where("l <> main").select(
-        "t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), *[F.col(f"r{i}").alias(f"x{i}") for i in (1, 2, 3)]
-    )
+    rows = store(rows.join(main.select("t", F.col("b.l").alias("main")), "t"), "mixed-buckets")
+    few = rows.where("l <> main").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"))
     met = few.join(rows, "t").where(
         (F.col("lx") != F.col("l"))
         & ((F.col("l") == F.col("main")) | (F.col("x") < F.col("v")))
         & _alike(F.col("nx"), F.col("n"), percent)
-        & (F.array_min(F.array_intersect("x1", "r1")) == F.col("t"))
-        & F.arrays_overlap("x2", "r2")
-        & F.arrays_overlap("x3", "r3")
     )
-    return met.select("x", F.col("v").alias("y"))
+    pairs = met.select("x", F.col("v").alias("y")).distinct()
+    x = prefixes.select(F.col("v").alias("x"), F.col("r2").alias("x2"), F.col("r3").alias("x3"))
+    y = prefixes.select(F.col("v").alias("y"), F.col("r2").alias("y2"), F.col("r3").alias("y3"))
+    filtered = pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
+    return filtered.select("x", "y")
