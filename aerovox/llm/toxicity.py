@@ -21,7 +21,7 @@ from aerovox.llm.common import small_batches, uniform
 from aerovox.llm.words import NO_LETTERS, mixed, stem_hashes, text_bytes, word_hashes
 
 #: Rows that the model is fitted on, at most: labelled ones first, then others; and their bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 1 << 15
+SAMPLE_ROWS, SAMPLE_BYTES = 5000, 1 << 14
 #: Bytes of the stems that are looked at.
 STEMS = (4, 5, 6, 7)
 #: Evidence (twice the log likelihood ratio) and documents that a mined word or stem needs.
