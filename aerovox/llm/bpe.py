@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from aerovox.llm import lexicon
 from aerovox.llm.common import free_name, small_batches
+from aerovox.session import store
 
 #: Words that the lexicon holds at most.
 LEXICON_WORDS = 1 << 17
 #: Pieces of text and words whose ids a worker remembers.
-MEMORY = 150_000
+PIECES, WORDS = 100_000, 120_000
 #: Words of more bytes than this are merged with a heap.
 SHORT = 48
 
@@ -172,8 +173,8 @@ class Encoder:
 
     def _learn(self, lists: list[list[str]]) -> None:
         """Ids of all pieces that aren't remembered."""
-        for memory in (self.heads, self.tails, self.words):
-            if len(memory) > MEMORY:
+        for memory, most in ((self.heads, PIECES), (self.tails, PIECES), (self.words, WORDS)):
+            if len(memory) > most:
                 memory.clear()
         heads = {p[0] for p in lists}.difference(self.heads)
         tails: set[str] = set()
@@ -200,8 +201,16 @@ def compile_lexicon(df: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_W
     """Counts the words of all texts, compiles the ``most`` frequent ones and hands the file to the
     executors. Returns the name under which they find it. Only ``most`` words reach the driver."""
     words = df.select(F.explode(F.regexp_extract_all("text", F.lit(_COUNTED), F.lit(0))).alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("c"))
-    top = counts.orderBy(F.desc("c"), "w").limit(most).collect()
+    counts = words.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    counts = store(counts.withColumn("level", F.floor(F.log2("c") * 32).cast("int")), "word-counts")
+    # As many levels of counts from the top as fit; there are few levels, whatever the corpus.
+    levels, room = [], most
+    for row in counts.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        room -= row.n
+        if room < 0:
+            break
+        levels.append(row.level)
+    top = counts.where(F.col("level") >= levels[-1]).select("w").collect() if levels else []
     frequent = sorted(row.w.encode() for row in top)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
