@@ -3,11 +3,13 @@
 Similar sets share a token among the first few of their tokens, whatever total order the tokens
 are sorted by. One order makes the candidates: by hash, but with tokens that many documents have
 at the end, so that common passages make none. Two more orders, by other hashes, filter them: a
-pair has to share a prefix token under each. What is left is verified on the whole sets.
+pair has to share a prefix token under each. The first order looks further than the prefix: of so
+many tokens more, a pair has to share one more than that. What is left is verified on whole sets.
 
 A group of thousands of near copies has millions of similar pairs, and the classes need only
 enough of them to hang together. So documents of equal sets are one vertex; a few rounds then
-compare each document of a bucket with one pivot of it and unite what is similar; at the end all
+compare each document with those pivots of its buckets that it shares most with and unite what
+is similar; at the end all
 pairs of a bucket that still lie in different classes are compared. No link between two classes is
 lost, and pairs within a class are never listed.
 """
@@ -29,8 +31,10 @@ from aerovox.session import scratch_path, store
 
 #: A token in more sketches than this comes behind all rarer ones in the first order.
 COMMON = 64
-#: Rounds of comparing with one pivot per bucket before the rest is compared in full.
-ROUNDS = 3
+#: Rounds of comparing with pivots of the buckets before the rest is compared in full.
+ROUNDS = 4
+#: Pivots of a bucket in a round, and how many of those it meets a document is compared with.
+PIVOTS, COMPARED = 8, 2
 #: Rows of a narrow table up to which it is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 300_000
 
@@ -154,11 +158,11 @@ def ngram_classes(df: DataFrame, *, words: int = 5, percent: int = 80, id_column
 def _members(
     docs: DataFrame, held: DataFrame, classes: DataFrame, words: int, percent: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Buckets (t, v, n) of classes by prefix token under the first order, prefixes under the other
+    """Buckets (t, v, n, need) of classes by token under the first order, prefixes under the other
     two (v, r2, r3), the tokens that several classes have only, and the sets (v, n, tokens)."""
     reps = _small(classes.select("v"))
     low = held.join(reps, F.col("row") == F.col("v"), "left_semi").select(
-        F.col("row").alias("v"), F.posexplode("low").alias("pos", "t")
+        F.col("row").alias("v"), F.explode("low").alias("t")
     )
     counts = _small(store(low.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "token-counts"))
     p = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("long")
@@ -167,19 +171,19 @@ def _members(
     m = F.ceil(F.col("n") * percent / 100)
     q = (m - F.floor((m * percent + 99) / 100) + 1).cast("long")
     needed = F.least(m, F.floor(q * 3 / 2) + 1) - q + 1
-    # Rank among the rarer tokens: the position without the common ones in front.
-    common = (F.col("c") > COMMON).cast("int")
-    along, whole = Window.partitionBy("v").orderBy("pos"), Window.partitionBy("v")
+    # The rarer tokens of a sketch are the first ones of the set in the first order.
+    common, whole = (F.col("c") > COMMON).cast("int"), Window.partitionBy("v")
     sizes = held.select(F.col("row").alias("v"), "n", F.size("low").alias("e"))
     shared = low.join(counts, "t").join(sizes, "v").withColumns(
-        {"front": F.sum(common).over(along), "all": F.sum(common).over(whole), "shared": F.count("*").over(whole)}
+        {"all": F.sum(common).over(whole), "shared": F.count("*").over(whole)}
     )
     ranked = store(
         shared.where(F.col("shared") >= needed).select(
             "v",
             "t",
             (F.col("e") - F.col("all") < F.least(p, F.col("n"))).alias("short"),
-            ((F.col("c") <= COMMON) & (F.col("pos") - F.col("front") < p)).alias("in"),
+            (F.col("c") <= COMMON).alias("in"),
+            (F.col("e") - F.col("all") - p + 1).alias("need"),
         ),
         "ranked",
     )
@@ -189,7 +193,11 @@ def _members(
     full = short_sets.select("v", "n", F.explode("tokens").alias("t"))
     order = Window.partitionBy("v").orderBy(F.coalesce("c", F.lit(0)), "t")
     late = full.join(counts.where(F.col("c") > COMMON), "t", "left").withColumn("place", F.row_number().over(order))
-    late = store(late.where(F.col("place") <= p).select("v", "t"), "late")
+    far = F.least(F.col("n"), F.floor(p * 3 / 2) + 1)
+    late = store(late.where(F.col("place") <= far).select("v", "t"), "late")
+    needs = ranked.where("NOT short").select("v", "need").distinct().unionByName(
+        short_sets.select("v", (far - p + 1).alias("need")).distinct()
+    )
     # Such a prefix may hold tokens that one other sketch has, so they weren't counted as shared.
     new = _small(store(late.select("t").distinct().join(counts, "t", "left_anti"), "late-tokens"))
     missed = low.join(new, "t").select("v", "t")
@@ -201,8 +209,9 @@ def _members(
     for name in ("p2", "p3"):
         other = sets.join(kept.select("v"), "v", "left_semi").select("v", F.explode(name).alias("t"))
         kept = kept.join(_shared(other, "r" + name[1]), "v")
-    kept = store(kept.join(sets.select("v", "n").distinct(), "v"), "kept-prefixes")
-    members = store(kept.select(F.explode("r1").alias("t"), "v", "n"), "members")
+    kept = store(kept.join(sets.select("v", "n").distinct(), "v").join(needs, "v", "left"), "kept-prefixes")
+    need = F.coalesce("need", F.lit(1)).alias("need")
+    members = store(kept.select(F.explode("r1").alias("t"), "v", "n", need), "members")
     return members, kept.select("v", "r2", "r3"), sets.select("v", "n", "tokens")
 
 
@@ -274,19 +283,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pivot_pairs(members: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each vertex the pivot of another class with which it shares the most buckets."""
-    rows = members.select("t", "v", "n").join(labels, "v")
-    mark = F.xxhash64(F.lit(turn), "v")
+    """For each vertex the pivots of other classes with which it shares the most tokens."""
+    rows = members.join(labels, "v")
+    one = [
+        F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "v").alias("mark"), *[F.col(c).alias(c) for c in ("v", "n", "need", "l")]))
+        for k in range(PIVOTS)
+    ]
     pivots = rows.groupBy("t").agg(
-        F.min(F.struct(mark.alias("mark"), F.col("v").alias("w"), F.col("n").alias("m"), F.col("l").alias("k"))).alias("p"),
-        F.min("l").alias("lo"),
-        F.max("l").alias("hi"),
+        F.min("l").alias("lo"), F.max("l").alias("hi"), *[m.alias(f"p{k}") for k, m in enumerate(one)]
     )
-    pivots = pivots.where("lo <> hi").select("t", "p.w", "p.m", "p.k")
+    every = F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("v", "n", "need", "l")]) for k in range(PIVOTS)])
+    pivots = pivots.where("lo <> hi").select("t", F.explode(F.array_distinct(every)).alias("p"))
+    pivots = pivots.select("t", F.col("p.v").alias("w"), F.col("p.n").alias("m"), F.col("p.need").alias("want"), F.col("p.l").alias("k"))
     met = rows.join(pivots, "t").where((F.col("l") != F.col("k")) & _alike(F.col("n"), F.col("m"), percent))
-    votes = met.groupBy("v", "w").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("v").agg(F.max(F.struct("votes", "w")).alias("b"))
-    return best.select(F.col("v").alias("x"), F.col("b.w").alias("y"))
+    votes = met.groupBy("v", "w").agg(F.count("*").alias("votes"), F.min(F.least("need", "want")).alias("least"))
+    near = votes.where(F.col("votes") >= F.col("least")).groupBy("v").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("votes", "w")), asc=False), 1, COMPARED).alias("b")
+    )
+    return near.select(F.col("v").alias("x"), F.explode("b.w").alias("y"))
 
 
 def _rest_pairs(members: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -298,13 +312,18 @@ def _rest_pairs(members: DataFrame, prefixes: DataFrame, labels: DataFrame, perc
     parts = rows.groupBy("t", "l").agg(F.count("*").alias("c"))
     main = parts.groupBy("t").agg(F.max(F.struct("c", "l")).alias("b"), F.count("*").alias("k")).where("k > 1")
     rows = store(rows.join(main.select("t", F.col("b.l").alias("main")), "t"), "mixed-buckets")
-    few = rows.where("l <> main").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"))
+    few = rows.where("l <> main").select(
+        "t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("need").alias("want")
+    )
     met = few.join(rows, "t").where(
         (F.col("lx") != F.col("l"))
         & ((F.col("l") == F.col("main")) | (F.col("x") < F.col("v")))
         & _alike(F.col("nx"), F.col("n"), percent)
     )
-    pairs = met.select("x", F.col("v").alias("y")).distinct()
+    votes = met.groupBy("x", F.col("v").alias("y")).agg(
+        F.count("*").alias("votes"), F.min(F.least("need", "want")).alias("least")
+    )
+    pairs = votes.where(F.col("votes") >= F.col("least")).select("x", "y")
     x = prefixes.select(F.col("v").alias("x"), F.col("r2").alias("x2"), F.col("r3").alias("x3"))
     y = prefixes.select(F.col("v").alias("y"), F.col("r2").alias("y2"), F.col("r3").alias("y3"))
     filtered = pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
