@@ -320,7 +320,9 @@ def _rest_pairs(members: DataFrame, prefixes: DataFrame, labels: DataFrame, perc
         & ((F.col("l") == F.col("main")) | (F.col("x") < F.col("v")))
         & _alike(F.col("nx"), F.col("n"), percent)
     )
-    votes = met.groupBy("x", F.col("v").alias("y")).agg(
+    # The main class differs by bucket and with it the side a vertex stands on, so votes are counted
+    # by the pair, whatever its direction.
+    votes = met.groupBy(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y")).agg(
         F.count("*").alias("votes"), F.min(F.least("need", "want")).alias("least")
     )
     pairs = votes.where(F.col("votes") >= F.col("least")).select("x", "y")

@@ -165,6 +165,17 @@ def test_ngram_classes(spark, docs, nothing, monkeypatch, common):
     assert again == {(i, c) for i, (_, c) in brute_classes(dict(enumerate(TEXTS))).items()}
 
 
+def test_rest_pairs_count_votes_of_both_directions(spark):
+    # 1 and 2 share four tokens; class 2 is the main one of two of the buckets, class 1 of the others.
+    buckets = {1: (1, 2, 3), 2: (1, 2, 3), 3: (1, 2, 4), 4: (1, 2, 4)}
+    rows = [(t, v, 10, 3) for t, vs in buckets.items() for v in vs]
+    members = spark.createDataFrame(rows, "t long, v long, n long, need long")
+    labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (3, 2)], "v long, l long")
+    prefixes = spark.createDataFrame([(v, [7], [8]) for v in range(1, 5)], "v long, r2 array<long>, r3 array<long>")
+    pairs = ngram_join._rest_pairs(members, prefixes, labels, 80).collect()
+    assert [(r.x, r.y) for r in pairs] == [(1, 2)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103)] + [(500, k) for k in range(501, 560)]
     got = {r.v: r.l for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
