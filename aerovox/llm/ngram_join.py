@@ -37,6 +37,8 @@ ROUNDS = 4
 PIVOTS, COMPARED = 8, 2
 #: Rows of a narrow table up to which it is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 300_000
+#: Sets that a task remembers, so that it sends repeated ones on once.
+SEEN = 100_000
 
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
 
@@ -87,9 +89,17 @@ def _whole_sets(k: int, percent: int):  # noqa: ANN202
     """The whole sets, and their prefixes under the second and the third order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            sets = list({s.tobytes(): s for s in _sets(batch, k)}.values())
-            marks = [_signature(s) for s in sets]
+            if len(seen) > SEEN:
+                seen.clear()
+            sets, marks = [], []
+            for s in _sets(batch, k):
+                mark = (*_signature(s), len(s))
+                if mark not in seen:
+                    seen.add(mark)
+                    sets.append(s)
+                    marks.append(mark)
             orders = []
             for salt in _SALTS:
                 orders.append([])
@@ -190,7 +200,9 @@ def _members(
     # Where the sketch has too few of the rarer tokens, the prefix is taken from the whole set.
     short = ranked.where("short").select("v").distinct()
     short_sets = store(_fetched(docs, short, classes, words, percent), "short-sets")
-    full = short_sets.select("v", "n", F.explode("tokens").alias("t"))
+    # Repeats of a token would take the places of others.
+    once = short_sets.select("v", "n", "tokens").repartition("v").dropDuplicates(["v"])
+    full = once.select("v", "n", F.explode("tokens").alias("t"))
     order = Window.partitionBy("v").orderBy(F.coalesce("c", F.lit(0)), "t")
     late = full.join(counts.where(F.col("c") > COMMON), "t", "left").withColumn("place", F.row_number().over(order))
     far = F.least(F.col("n"), F.floor(p * 3 / 2) + 1)
@@ -216,24 +228,25 @@ def _members(
 
 
 def _bucketed(sets: DataFrame) -> DataFrame:
-    """The sets by vertex in a bucketed table, so that no join moves them again."""
+    """The sets by vertex, each once, in a bucketed table, so that no join moves them again."""
     spark = sets.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"token_sets_{uuid.uuid4().hex}"
-    writer = sets.repartition(n, "v").write.bucketBy(n, "v").sortBy("v")
+    writer = sets.repartition(n, "v").dropDuplicates(["v"]).write.bucketBy(n, "v").sortBy("v")
     writer.option("path", scratch_path(spark, "token-sets")).saveAsTable(name)
     return spark.table(name)
 
 
 def _fetched(docs: DataFrame, vertices: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The whole sets (v, n, tokens, p2, p3) of some classes, from the text of one row of each."""
+    """The whole sets (v, n, tokens, p2, p3) of some classes, from the texts of their first ids.
+
+    Rows alike in id and text may bring a set more than once."""
     wanted = _small(store(vertices.join(classes, "v"), "wanted"))
     ids = _small(store(wanted.select(F.col("id").alias("i")).distinct(), "wanted-ids"))
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi")
     whole = texts.select("text").mapInArrow(
         _whole_sets(words, percent), "s1 long, s2 long, n long, tokens array<long>, p2 array<long>, p3 array<long>"
     )
-    # Rows alike in id and text may bring a set more than once, which adds nothing.
     return whole.join(wanted, ["s1", "s2", "n"]).select("v", "n", "tokens", "p2", "p3")
 
 

@@ -176,6 +176,28 @@ def test_rest_pairs_count_votes_of_both_directions(spark):
     assert [(r.x, r.y) for r in pairs] == [(1, 2)]
 
 
+def test_ngram_classes_of_repeated_rows(spark, monkeypatch):
+    # Every shingle that documents share is common, so prefixes come from whole sets; the rows of a
+    # near copy stand in several batches and partitions.
+    monkeypatch.setattr(ngram_join, "COMMON", 1)
+    rng = random.Random(11)
+    texts = {}
+    for group in range(8):
+        base = [f"g{group}w{k}" for k in range(60)]
+        texts[2 * group] = " ".join(base)
+        base[rng.randrange(10, 50)] = "other"
+        texts[2 * group + 1] = " ".join(base)
+    rows = spark.createDataFrame([*texts.items()] * 24, "doc_id long, text string").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(rows).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(i, *c) for i, c in brute_classes(texts).items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103)] + [(500, k) for k in range(501, 560)]
     got = {r.v: r.l for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
