@@ -3,7 +3,9 @@
 For a text the hashes of all its prefixes are kept as arrays modulo two primes. A difference of two
 entries is the hash of a span, so any two spans compare in constant time, and binary search finds
 how far two texts agree from two positions on. A fingerprint keeps some prefix hashes only: those
-at up to 32 equally spaced lengths, and those that give the same spans counted from the end.
+at up to 32 equally spaced lengths, those that give the same spans counted from the end, and those at
+up to 64 places that the text around them chooses, wherever it stands. Differences of these are the
+hashes of the spans in between, so two fingerprints tell common spans in the middle, moved ones too.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003_397, 911_382_323)
 #: Spans of a fingerprint, at most.
 CELLS = 32
+#: Code points that choose a mark, marks of a fingerprint at most, and code points that a common span
+#: has at least unless it begins or ends both texts.
+WINDOW, MARKS, LEAST = 16, 64, 8
 #: Code points whose hashes are computed at a time.
 BLOCK = 1 << 18
 
@@ -104,6 +109,35 @@ def _inverse_powers(k: int, starts: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+_inverse_tables = [np.ones(1, dtype=np.int64)]
+
+
+def _inverses_up_to(n: int) -> np.ndarray:
+    """Powers 0 to n of the inverse of the first base."""
+    prime, inverse = PRIMES[0], pow(BASES[0], -1, PRIMES[0])
+    while len(_inverse_tables[0]) <= n:
+        have = _inverse_tables[0]
+        step = int(have[-1]) * inverse % prime
+        _inverse_tables[0] = np.concatenate([have, have * step % prime])
+    return _inverse_tables[0]
+
+
+def _chosen(p: Prefixes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places whose following window has a hash below 2**31 >> level, those hashes, and the level: the
+    lowest that leaves ``MARKS`` places. So the marks of a higher level are some of those of a lower."""
+    if p.n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    sums, at = p.sums[0], np.arange(p.n - WINDOW + 1)
+    hashes = (sums[WINDOW:] - sums[: len(at)]) % PRIMES[0] * _inverses_up_to(len(at))[: len(at)] % PRIMES[0]
+    # Marks are twice ``LEAST`` apart or more on average, so most spans are long enough to count.
+    level = max((2 * LEAST).bit_length() - 1, math.ceil(math.log2(len(at) / MARKS)))
+    while True:
+        at = at[hashes[at] < (1 << 31) >> level]
+        if len(at) <= MARKS:
+            return at, hashes[at], level
+        level += 1
+
+
 def step_of(n: int) -> int:
     """Width of the spans of a fingerprint: a power of two, so that the marks of a coarse grid are
     marks of every finer one."""
@@ -111,7 +145,8 @@ def step_of(n: int) -> int:
 
 
 def fingerprint(text: str) -> str:
-    """Length, hash of the whole, hashes of the first 1, 2, ... and of the last 1, 2, ... spans."""
+    """Length, hash of the whole, hashes of the first 1, 2, ... and of the last 1, 2, ... spans, level,
+    and places, hashes of windows and of prefixes of the marks that the content chooses."""
     p = Prefixes(code_points(text))
     step = step_of(p.n)
     lengths = np.arange(step, p.n + 1, step)
@@ -119,12 +154,15 @@ def fingerprint(text: str) -> str:
     whole = p.spans(np.zeros(1, np.int64), np.array([p.n]))
     front = p.spans(zero, lengths)
     back = p.spans(p.n - lengths, zero + p.n)
-    data = np.concatenate([whole, front, back]).astype("<u8").tobytes()
-    return f"{p.n}:{base64.b64encode(data).decode()}"
+    at, windows, level = _chosen(p)
+    upto = p.spans(np.zeros(len(at), np.int64), at)
+    data = np.concatenate([whole, front, back, *(x.astype(np.uint64) for x in (np.array([level]), at, windows, upto))])
+    return f"{p.n}:{base64.b64encode(data.astype('<u8').tobytes()).decode()}"
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of two texts, from 0 to 1, that is a common beginning or a common end.
+    """Share of two texts, from 0 to 1, that they have in common: a beginning, an end, spans at the
+    same distance from either, and spans between marks that the content chooses, wherever they stand.
 
     From the fingerprints alone, so lengths are known to a span of the coarser grid. Equal texts
     have 1; two empty ones are equal, an empty and another one have 0.
@@ -135,10 +173,21 @@ def likeness(a: str, b: str) -> float:
     if not n or not m:
         return 0.0
     step = max(step_of(n), step_of(m))
-    front = _common(x[1 : 1 + n // step_of(n)], step // step_of(n), y[1 : 1 + m // step_of(m)], step // step_of(m))
-    back = _common(x[1 + n // step_of(n) :], step // step_of(n), y[1 + m // step_of(m) :], step // step_of(m))
-    shared = min((front + back) * step, n, m)
-    return 2.0 * shared / (n + m)
+    k, j = n // step_of(n), m // step_of(m)
+    every, each = step // step_of(n), step // step_of(m)
+    covered = [np.zeros(n, dtype=bool), np.zeros(m, dtype=bool)]
+    for low, high in _runs(_cells(x[1 : 1 + k], every, step, False), _cells(y[1 : 1 + j], each, step, False), step):
+        covered[0][low * step : high * step] = covered[1][low * step : high * step] = True
+    back = _runs(_cells(x[1 + k : 1 + 2 * k], every, step, True), _cells(y[1 + j : 1 + 2 * j], each, step, True), step)
+    for low, high in back:
+        covered[0][n - high * step : n - low * step] = covered[1][m - high * step : m - low * step] = True
+    marks = [_marks(n, x, k), _marks(m, y, j)]
+    level = max(marks[0][0], marks[1][0])
+    spans = [_between(size, mark, values[0], level) for size, mark, values in ((n, marks[0], x), (m, marks[1], y))]
+    for key in spans[0].keys() & spans[1].keys():
+        for low, at in zip(spans[0][key], spans[1][key], strict=False):
+            covered[0][low : low + key[0]] = covered[1][at : at + key[0]] = True
+    return 2.0 * min(int(c.sum()) for c in covered) / (n + m)
 
 
 def _parsed(mark: str) -> tuple[int, np.ndarray]:
@@ -146,14 +195,49 @@ def _parsed(mark: str) -> tuple[int, np.ndarray]:
     return int(n), np.frombuffer(base64.b64decode(data), dtype="<u8")
 
 
-def _common(x: np.ndarray, every: int, y: np.ndarray, each: int) -> int:
-    """Marks up to which two lists agree, by binary search: prefixes agree up to one length."""
-    x, y = x[every - 1 :: every], y[each - 1 :: each]
-    low, high = 0, min(len(x), len(y))
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if x[middle - 1] == y[middle - 1] else (low, middle - 1)
-    return low
+def _halves(packed: np.ndarray) -> list[np.ndarray]:
+    return [(packed >> np.uint64(31)).astype(np.int64), (packed & np.uint64((1 << 31) - 1)).astype(np.int64)]
+
+
+def _cells(hashes: np.ndarray, every: int, step: int, from_end: bool) -> np.ndarray:
+    """Hashes of the single spans of a grid, from those of the first or the last 1, 2, ... of them."""
+    out = []
+    for prime, base, sums in zip(PRIMES, BASES, _halves(hashes[every - 1 :: every]), strict=True):
+        before = np.concatenate([np.zeros(1, np.int64), sums[:-1]])
+        if from_end:  # the earlier span is the front of the longer one and shifts the rest by a step
+            before = before * pow(base, step, prime) % prime
+        out.append((sums - before) % prime)
+    return np.stack(out)
+
+
+def _runs(x: np.ndarray, y: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Runs of cells that two texts share: the one at the beginning, and others that are long enough."""
+    n = min(x.shape[1], y.shape[1])
+    same = np.concatenate([[False], (x[:, :n] == y[:, :n]).all(axis=0), [False]])
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if low == 0 or (high - low) * step >= LEAST:
+            yield low, high
+
+
+def _marks(n: int, x: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+    """Level, and the chosen marks as rows: places, hashes of windows and of prefixes."""
+    return int(x[1 + 2 * k]), x[2 + 2 * k :].reshape(3, -1)
+
+
+def _between(n: int, mark: tuple[int, np.ndarray], whole: int, level: int) -> dict[tuple[int, int, int], list[int]]:
+    """Where the spans between chosen marks of a level begin, by length and hashes."""
+    kept = mark[1][:, mark[1][1] < np.uint64((1 << 31) >> level)]
+    at = np.concatenate([[0], kept[0].astype(np.int64), [n]])
+    upto = np.concatenate([np.zeros(1, np.uint64), kept[2], np.array([whole], np.uint64)])
+    hashes = []
+    for k, (prime, sums) in enumerate(zip(PRIMES, _halves(upto), strict=True)):
+        hashes.append((sums[1:] - sums[:-1]) % prime * _inverse_powers(k, at[:-1]) % prime)
+    found: dict[tuple[int, int, int], list[int]] = {}
+    for low, length, *two in zip(at[:-1].tolist(), np.diff(at).tolist(), *(h.tolist() for h in hashes), strict=True):
+        if length >= LEAST:
+            found.setdefault((length, *two), []).append(low)
+    return found
 
 
 def edited(text: str, other: str) -> str:

@@ -94,6 +94,27 @@ def test_spans_and_extensions():
     assert fingerprints.likeness(fingerprints.fingerprint(""), fingerprints.fingerprint("a")) == 0
 
 
+def test_likeness_sees_the_middle():
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    def like(a, b):
+        return fingerprints.likeness(*map(fingerprints.fingerprint, (a, b)))
+
+    for words_of in (40, 300, 3000):
+        text, other = prose(words_of), prose(words_of)
+        n = len(text)
+        ends = "#" + text[1:-1] + "#"
+        thirds = text[: n // 3] + "#" + text[n // 3 + 1 : 2 * n // 3] + "#" + text[2 * n // 3 + 1 :]
+        moved = "a new title, longer " + text[9:-9] + " and a footer"
+        assert like(text, ends) > 0.85 and like(text, thirds) > 0.8
+        assert like(text, moved) == like(moved, text) > (0.5 if words_of == 40 else 0.8)
+        assert like(text, other) < 0.1
+    assert 0 <= like("a" * 5000, "b" + "a" * 4000) <= 1
+
+
 def test_fingerprints_of_documents(docs, nothing):
     got = {r.doc_id: r for r in fingerprints.compare_with_next(docs, pieces=4).collect()}
     order = sorted(got, reverse=True)
