@@ -9,8 +9,10 @@ it works, since it splits large files and bounds a micro-batch.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,8 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 READ_BYTES = 1 << 20
-#: A stream reads a file when it is this many seconds old, so that none that lands meanwhile, on a
-#: machine whose clock is a little late, is older than what has been read.
+#: A stream reads a file when it is this many seconds old, so that it is complete.
 SETTLE_SECONDS = 5.0
 
 
@@ -106,8 +107,24 @@ class _BatchReader(DataSourceReader):
         return read_landed(self.folder, partition.path)
 
 
+def _mark(file: tuple[int, str]) -> bytes:
+    name = f"{file[0]} {file[1]}".encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(name, digest_size=8).digest()
+
+
+def _seen(offset: dict) -> Callable[[tuple[int, str]], bool]:
+    """Whether a file has been read up to an offset; those of older checkpoints have the newest file only."""
+    if "seen" not in offset:
+        return lambda f: f <= (offset["time"], offset["path"])
+    data = base64.b64decode(offset["seen"])
+    marks = {data[k : k + 8] for k in range(0, len(data), 8)}
+    return lambda f: _mark(f) in marks
+
+
 class _StreamReader(DataSourceStreamReader):
-    """The offset is the time of landing and path of the newest file read."""
+    """The offset tells the time of landing and path of the newest file read, and which files have been
+    read: eight bytes of a hash for each that is still there. So a file that appears late with an old
+    time, as renamed ones do, is read too."""
 
     def __init__(self, folder: str, settle: float):
         self.folder = folder
@@ -119,11 +136,14 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self):  # noqa: N802
         until = time.time_ns() - round(self.settle * 1e9)
         settled = [f for f in landed_files(self.folder) if f[0] <= until]
-        return dict(zip(("time", "path"), settled[-1], strict=True)) if settled else self.initialOffset()
+        if not settled:
+            return self.initialOffset()
+        seen = b"".join(sorted(map(_mark, settled)))
+        return {"time": settled[-1][0], "path": settled[-1][1], "seen": base64.b64encode(seen).decode()}
 
     def partitions(self, start, end):
-        low, high = ((o["time"], o["path"]) for o in (start, end))
-        return [LandedFile(f[1]) for f in landed_files(self.folder) if low < f <= high] or [LandedFile(None)]
+        before, after = _seen(start), _seen(end)
+        return [LandedFile(f[1]) for f in landed_files(self.folder) if after(f) and not before(f)] or [LandedFile(None)]
 
     def read(self, partition):
         return read_landed(self.folder, partition.path)

@@ -106,3 +106,14 @@ def test_stream_resumes_after_the_last_file(spark, landing, tmp_path_factory):
 def test_stream_waits_until_a_file_has_settled(landing):
     assert formats._StreamReader(landing, 60).latestOffset() == {"time": 0, "path": ""}
     assert formats._StreamReader(landing, 0).latestOffset()["path"].endswith("0002.txt")
+
+
+def test_stream_reads_a_file_that_appears_with_an_older_time(spark, landing, tmp_path_factory):
+    sources.register(spark)
+    work = str(tmp_path_factory.mktemp("work"))
+    args = (spark, landing, f"{work}/state", f"{work}/table")
+    assert run(*args) == 31
+    os.utime(land(work, "early.txt", poll(state())), (1_000_000_000, 1_000_000_000))
+    os.rename(f"{work}/early.txt", f"{landing}/early.txt")  # keeps the time
+    assert run(*args) == 32
+    assert run(*args) == 32
