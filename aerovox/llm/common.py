@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerovox.session import store
+
 #: White space of every contract here: the six ASCII characters, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: What parts words where punctuation does, too: ASCII but for digits and small letters.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -66,3 +71,24 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def words_of(text: Column) -> Column:
+    """The runs of letters (A-Z as a-z), digits and characters beyond ASCII, in order; none for null."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD), "")
+
+
+def places(df: DataFrame, group: str, *order: str | Column) -> DataFrame:
+    """``df`` with ``place``: the number, from 0, of each row among those of its ``group`` in ``order``.
+
+    A sort by ranges spreads every group, however large, over tasks; what each range adds to a
+    later one follows from a count per group and range. ``order`` should tell rows apart.
+    """
+    laid = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    laid = store(laid.withColumn("_at", F.monotonically_increasing_id()), "places")
+    laid = laid.withColumn("_range", F.shiftright("_at", 33))
+    runs = laid.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    place = F.col("_at") - F.col("_first") + F.col("_before")
+    return laid.join(runs, [group, "_range"]).withColumn("place", place).drop("_at", "_range", "_first", "_before")
