@@ -12,7 +12,7 @@ from aerovox.operators.quality import Rule
 from aerovox.operators.stats import conversation_stats, flight_stats, transcript_by_speaker
 from aerovox.session import use_utc
 from aerovox.streaming.incremental import (
-    IncrementalView,
+    LiveView,
     incremental_conversation_stats,
     incremental_flight_stats,
     incremental_transcript_by_speaker,
@@ -37,7 +37,7 @@ class View:
 
     source: str
     query: Callable[[DataFrame], DataFrame]
-    incremental: Callable[[str], IncrementalView]
+    incremental: Callable[[str], LiveView]
     order: Callable[[], list[Column]] = list
 
     def sort(self, rows: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def refresh_view(spark: SparkSession, database: str, name: str, state: str | Non
     """Stores a view anew and returns it.
 
     With a ``state`` folder only rows that came since the last refresh are read, and added
-    to the partials kept there. Without one the whole source table is read.
+    to the groups kept there. Without one the whole source table is read.
     """
     view = VIEWS[name]
     source = f"{database}.{view.source}"

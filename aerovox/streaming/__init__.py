@@ -1,5 +1,5 @@
 from aerovox.streaming.incremental import (
-    IncrementalView,
+    LiveView,
     incremental_conversation_stats,
     incremental_flight_stats,
     incremental_transcript_by_speaker,
@@ -20,7 +20,7 @@ from aerovox.streaming.summary import observed_breaches, stream_summary
 __all__ = [
     "POLL_SPACING",
     "QUALITY_METRICS",
-    "IncrementalView",
+    "LiveView",
     "append_stream",
     "finish",
     "incremental_conversation_stats",

@@ -1,100 +1,136 @@
-"""Aggregate views kept up to date batch by batch, with exact results."""
+"""Aggregate views kept up to date by a stream, with exact results.
+
+The groups live in Spark's streaming state (RocksDB, so they need not fit in memory). A
+micro-batch hands out the groups that it changed, and these replace their former rows in a table
+that is partitioned by a hash of the key: a batch rewrites the buckets it touches and no other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from aerovox.operators.stats import spoken_by
+from aerovox.operators.bitmaps import KEYS, address_bits, distinct_aircraft, with_parts
+from aerovox.operators.stats import conversation_stats, transcript_by_speaker
 from aerovox.schemas import FLIGHT, UTTERANCE
-from aerovox.sources.formats import open_folder
 from aerovox.streaming.ingest import triggered
 
-# A measure of one group, and how the measures of two batches combine.
-Measure = tuple[Column, Callable[[str], Column]]
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Parts of the table of groups. A batch rewrites at least one, so it should be of a size to rewrite.
+BUCKETS = 64
 
 
-class IncrementalView:
-    """A folder of per-group partials that a stream adds to and a reader finishes.
+@dataclass(frozen=True)
+class LiveView:
+    """A view over a stream of ``source`` rows.
 
-    Batch n writes ``part/n``, replacing what a failed attempt left there. Every
-    ``merge_every`` batches the latest merged state and the parts after it become
-    ``merged/n``, so a reader meets at most one state and ``merge_every`` parts. A batch
-    writes its own groups only; a merge rewrites all groups ever seen, so it grows with them.
+    ``group`` aggregates rows by ``keys``; it runs as a streaming aggregation in update mode.
+    ``finish`` makes the view out of the groups. Everything is kept below ``folder``.
     """
 
-    def __init__(
-        self,
-        folder: str,
-        source: StructType,
-        keys: list[str],
-        measures: dict[str, Measure],
-        finish: Callable[[DataFrame], DataFrame],
-        merge_every: int = 100,
-    ):
-        if merge_every < 1:
-            raise ValueError("merge_every must be at least 1")
-        self.folder = folder.rstrip("/")
-        self.source = source
-        self.keys = keys
-        self.measures = measures
-        self.finish = finish
-        self.merge_every = merge_every
-
-    def partials(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*self.keys).agg(*[measure.alias(name) for name, (measure, _) in self.measures.items()])
-
-    def merge(self, parts: DataFrame) -> DataFrame:
-        """Partials of several batches as one row per group."""
-        return parts.groupBy(*self.keys).agg(
-            *[combine(name).alias(name) for name, (_, combine) in self.measures.items()]
-        )
-
-    def update(self, rows: DataFrame, batch_id: int) -> None:
-        """Sink of one micro-batch, for ``foreachBatch``."""
-        self.partials(rows).write.mode("overwrite").parquet(self._at("part", batch_id))
-        if (batch_id + 1) % self.merge_every == 0:
-            state = self.merge(self._parts(rows.sparkSession, batch_id))
-            state.write.mode("overwrite").parquet(self._at("merged", batch_id))
+    folder: str
+    source: StructType
+    keys: tuple[str, ...]
+    group: Callable[[DataFrame], DataFrame]
+    finish: Callable[[DataFrame], DataFrame] = lambda groups: groups
+    buckets: int = BUCKETS
 
     def start(self, rows: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        writer = rows.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
-        return triggered(writer, every).start()
+        """Goes on from ``checkpoint``, where the state is; keep it with ``folder``, as they belong together.
+
+        The number of state partitions is ``spark.sql.shuffle.partitions`` of the first run for good.
+        """
+        spark = rows.sparkSession
+        before = spark.conf.get(STATE_PROVIDER, None)
+        spark.conf.set(STATE_PROVIDER, ROCKSDB)
+        try:
+            writer = self.group(rows).writeStream.outputMode("update").foreachBatch(self.replace)
+            return triggered(writer.option("checkpointLocation", checkpoint), every).start()
+        finally:
+            spark.conf.unset(STATE_PROVIDER) if before is None else spark.conf.set(STATE_PROVIDER, before)
+
+    def replace(self, changed: DataFrame, batch_id: int) -> None:
+        """Sink of a micro-batch: the new rows of the touched buckets, then the buckets themselves.
+
+        The new rows are written beside the table first and marked with their batch. Should the run
+        end while buckets are being replaced, the batch comes again and finds them complete.
+        """
+        spark = changed.sparkSession
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        # Written even if it comes again: running it is what commits the batch's state.
+        changed.withColumn("bucket", bucket).write.mode("overwrite").parquet(self._at("changed"))
+        staged = self._read(spark, "staged", "batch long")
+        if staged is None or staged.first().batch != batch_id:
+            self._stage(spark)
+            spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").parquet(self._at("staged"))
+        rows = spark.read.schema(self._layout(spark)).parquet(self._at("next"))
+        writer = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(self._at("groups"))
+
+    def _stage(self, spark: SparkSession) -> None:
+        layout = self._layout(spark)
+        changed = spark.read.schema(layout).parquet(self._at("changed"))
+        rows = changed
+        groups = self._read(spark, "groups", layout)
+        if groups is not None:
+            # No more numbers than there are buckets; only these folders are read.
+            touched = [r.bucket for r in changed.select("bucket").distinct().collect()]
+            same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in ("bucket", *self.keys)]
+            old = groups.where(F.col("bucket").isin(touched)).alias("old")
+            rows = old.join(changed.alias("new"), same, "left_anti").unionByName(changed)
+        rows.write.mode("overwrite").parquet(self._at("next"))
+
+    def groups(self, spark: SparkSession) -> DataFrame:
+        """All groups as of the last batch. To be read between batches."""
+        layout = self._layout(spark)
+        found = self._read(spark, "groups", layout)
+        return (spark.createDataFrame([], layout) if found is None else found).drop("bucket")
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """The view of everything committed so far."""
-        return self.finish(self.merge(self._parts(spark)))
-
-    def _at(self, kind: str, batch_id: int) -> str:
-        return f"{self.folder}/{kind}/{batch_id}"
-
-    def _complete(self, kind: str) -> list[int]:
-        """Batches of one kind whose write has finished, in order."""
-        system, root = open_folder(self.folder)
-        folders = system.get_file_info(fs.FileSelector(f"{root}/{kind}", allow_not_found=True))
-        marks = system.get_file_info([f"{f.path}/_SUCCESS" for f in folders])
-        return sorted(int(f.base_name) for f, m in zip(folders, marks) if m.type == fs.FileType.File)
-
-    def _parts(self, spark: SparkSession, merging: int | None = None) -> DataFrame:
-        """The latest merged state and the parts after it, for a merge only up to its batch."""
-        states = [n for n in self._complete("merged") if merging is None or n < merging]
-        base = states[-1] if states else -1
-        parts = [n for n in self._complete("part") if n > base and (merging is None or n <= merging)]
-        paths = [self._at("merged", base)] * bool(states) + [self._at("part", n) for n in parts]
-        if not paths:
-            return self.partials(spark.createDataFrame([], self.source))
-        return spark.read.parquet(*paths)
-
-
-def _flight_stats(per_aircraft: DataFrame) -> DataFrame:
-    return per_aircraft.agg(
+        """The view of everything taken in so far."""
+        return self.finish(self.groups(spark))
+
+    def _layout(self, spark: SparkSession) -> StructType:
+        grouped = self.group(spark.createDataFrame([], self.source)).schema
+        return StructType([*grouped.fields, StructField("bucket", IntegerType())])
+
+    def _at(self, part: str) -> str:
+        return f"{self.folder.rstrip('/')}/{part}"
+
+    def _read(self, spark: SparkSession, part: str, layout: StructType | str) -> DataFrame | None:
+        try:
+            return spark.read.schema(layout).parquet(self._at(part))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+
+def _per_part(flights: DataFrame) -> DataFrame:
+    return with_parts(flights).groupBy(*KEYS).agg(
+        F.count("*").alias("num_events"),
+        address_bits().alias("bits"),
+        F.max("vertical_rate").alias("max_asc_rate"),
+        F.min("vertical_rate").alias("max_desc_rate"),
+        F.max("velocity").alias("max_speed"),
+        F.max("geo_altitude").alias("max_altitude"),
+        F.min("time_ingest").alias("first_ingest"),
+        F.max("time_ingest").alias("last_ingest"),
+    )
+
+
+def _flight_stats(parts: DataFrame) -> DataFrame:
+    return parts.agg(
         F.coalesce(F.sum("num_events"), F.lit(0)).alias("num_events"),
-        F.count("icao24").alias("unique_aircraft"),
+        distinct_aircraft().alias("unique_aircraft"),
         F.max("max_asc_rate").alias("max_asc_rate"),
         F.min("max_desc_rate").alias("max_desc_rate"),
         F.max("max_speed").alias("max_speed"),
@@ -103,51 +139,15 @@ def _flight_stats(per_aircraft: DataFrame) -> DataFrame:
     )
 
 
-def incremental_flight_stats(folder: str, merge_every: int = 100) -> IncrementalView:
-    """``flight_stats`` from partials per aircraft, which keep the distinct count exact."""
-    measures = {
-        "num_events": (F.count("*"), F.sum),
-        "max_asc_rate": (F.max("vertical_rate"), F.max),
-        "max_desc_rate": (F.min("vertical_rate"), F.min),
-        "max_speed": (F.max("velocity"), F.max),
-        "max_altitude": (F.max("geo_altitude"), F.max),
-        "first_ingest": (F.min("time_ingest"), F.min),
-        "last_ingest": (F.max("time_ingest"), F.max),
-    }
-    return IncrementalView(folder, FLIGHT, ["icao24"], measures, _flight_stats, merge_every)
-
-
-def incremental_transcript_by_speaker(folder: str, merge_every: int = 100) -> IncrementalView:
-    """``transcript_by_speaker`` from counts that add up."""
-    measures = {"count": (F.count("*"), F.sum)}
-    return IncrementalView(folder, UTTERANCE, ["speaker", "domain"], measures, lambda merged: merged, merge_every)
-
-
-def incremental_conversation_stats(folder: str, merge_every: int = 100) -> IncrementalView:
-    """``conversation_stats`` from partials per group; the mean is kept as sum and count."""
-    keys = ["conversation_id", "domain", "topic", "accent"]
-    measures = {
-        "total_utterances": (F.count("*"), F.sum),
-        "agent_utterances": (spoken_by("agent"), F.sum),
-        "customer_utterances": (spoken_by("customer"), F.sum),
-        "confidence_sum": (F.sum("confidence"), F.sum),
-        "confidence_count": (F.count("confidence"), F.sum),
-        "conversation_duration": (F.max("end_time"), F.max),
-        "conversation_start": (F.min("timestamp"), F.min),
-        "conversation_end": (F.max("timestamp"), F.max),
-    }
-
-    def finish(merged: DataFrame) -> DataFrame:
-        mean = F.col("confidence_sum") / F.nullif(F.col("confidence_count"), F.lit(0))
-        return merged.select(
-            *keys,
-            "total_utterances",
-            "agent_utterances",
-            "customer_utterances",
-            mean.alias("avg_confidence"),
-            "conversation_duration",
-            "conversation_start",
-            "conversation_end",
-        )
-
-    return IncrementalView(folder, UTTERANCE, keys, measures, finish, merge_every)
+def incremental_flight_stats(folder: str, buckets: int = BUCKETS) -> LiveView:
+    """``flight_stats`` from bitmaps of aircraft: 513 groups, and one for each name that is no address."""
+    return LiveView(folder, FLIGHT, KEYS, _per_part, _flight_stats, buckets)
+
+
+def incremental_transcript_by_speaker(folder: str, buckets: int = BUCKETS) -> LiveView:
+    return LiveView(folder, UTTERANCE, ("speaker", "domain"), transcript_by_speaker, buckets=buckets)
+
+
+def incremental_conversation_stats(folder: str, buckets: int = BUCKETS) -> LiveView:
+    keys = ("conversation_id", "domain", "topic", "accent")
+    return LiveView(folder, UTTERANCE, keys, conversation_stats, buckets=buckets)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import fixtures
 from aerovox import sources, streaming
-from aerovox.operators import explore, flights, polls, progress, quality, sequence, stats, utterances
+from aerovox.operators import bitmaps, explore, flights, polls, progress, quality, sequence, stats, utterances
 from aerovox.plans import VIEWS
 from aerovox.schemas import FLIGHT, FLIGHT_API
 from aerovox.session import scratch_path, store
@@ -313,6 +313,22 @@ def _(spark, sf_dir):
     return explore.unique_flights(fixtures.flights(spark, sf_dir))
 
 
+@query(
+    "unique_aircraft_bitmap",
+    """
+    SELECT CAST(time_ingest AS DATE) AS day, count(DISTINCT icao24) AS unique_aircraft FROM flights GROUP BY 1
+    UNION ALL SELECT NULL, count(DISTINCT icao24) FROM flights
+    """,
+)
+def _(spark, sf_dir):
+    """Aircraft per hour as bitmaps; those of the hours make the days, those of the days the whole."""
+    hourly = bitmaps.aircraft_parts(fixtures.flights(spark, sf_dir), "time_ingest")
+    days = bitmaps.merge_parts(hourly.withColumn("day", F.to_date("time_ingest")), "day")
+    days = store(days, "aircraft-by-day")
+    whole = bitmaps.count_aircraft(days).withColumn("day", F.lit(None).cast("date"))
+    return bitmaps.count_aircraft(days, "day").unionByName(whole)
+
+
 @query(
     "flights_profile",
     " UNION ALL ".join(
@@ -712,7 +728,7 @@ def _(spark, sf_dir):
     landing = _landed_polls(spark, sf_dir)
     quarter = math.ceil(len(spark.read.text(landing).inputFiles()) / 4)
     lines = sources.read_line_stream(spark, landing, max_files_per_trigger=quarter)
-    kept = streaming.incremental_flight_stats(scratch_path(spark, "flight-stats"), merge_every=3)
+    kept = streaming.incremental_flight_stats(scratch_path(spark, "flight-stats"), buckets=8)
     streaming.finish(kept.start(polls.flights_from_polls(lines), scratch_path(spark, "checkpoint")))
     return kept.current(spark)
 
@@ -721,7 +737,7 @@ def _kept_transcript_view(spark: SparkSession, sf_dir: str, incremental) -> Data
     landing = _landed_utterances(spark, sf_dir)
     quarter = math.ceil(len(spark.read.text(landing).inputFiles()) / 4)
     rows = sources.read_utterance_stream(spark, landing, max_files_per_trigger=quarter)
-    kept = incremental(scratch_path(spark, "transcript-view"), merge_every=3)
+    kept = incremental(scratch_path(spark, "transcript-view"), buckets=8)
     streaming.finish(kept.start(rows, scratch_path(spark, "checkpoint")))
     return kept.current(spark)
 
