@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from aerovox.limits import check_range
 from aerovox.session import store
 
-# A page that ends this early is a top-k; the k rows also bound what the driver receives.
-SHALLOW_ROWS = 10_000
+# A page ends this early, as all rows before it are sorted for it in one task.
+MOST_ROWS = 10_000
 
 # Longest list of numbers that one row unfolds into at a time.
 UNFOLD = 1 << 20
@@ -62,6 +62,43 @@ def totals_before(per_time: DataFrame, time: str, measures: list[str], whole_sec
     return result.select(*per_time.columns, *[f"{m}_before" for m in measures])
 
 
+def prefix_sums(df: DataFrame, group: str | None, order: list[str], **measures: Column) -> DataFrame:
+    """Adds, under each name, the sum of a measure over all earlier rows of the same ``group``.
+
+    Rows stand in ``order``, those alike in it by a hash of the row, equal ones in any order; nulls
+    come first and are a group like any other. The rows are sorted by ranges and written once, and
+    what the ranges before add to a group follows from one sum per group and range, so neither a
+    large group nor one repeated row comes into one task. Runs jobs while the plan is built.
+    """
+    groups = [group] if group else []
+    keys = [*groups, *order, "_hash", "_tie"]
+    marks = {"_hash": F.xxhash64(*df.columns), "_tie": F.monotonically_increasing_id()}
+    steps = {f"_{name}": measure for name, measure in measures.items()}
+    laid = df.withColumns({**marks, **steps}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = store(laid.drop("_hash", "_tie").withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    laid = laid.withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.partitionBy("_range", *groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("_range", *groups).agg(*[F.sum(s).alias(s) for s in steps])
+    sums = sums.select(
+        F.col("_range").alias("_of"),
+        *[F.col(g).alias("_group") for g in groups],
+        *[F.sum(s).over(before).alias(f"_before{s}") for s in steps],
+        F.count("*").over(before).alias("_ranges"),
+    )
+    # Only the group a range begins with can go on from the range before: one row a range at most.
+    sums = F.broadcast(sums.where("_ranges > 0").drop("_ranges"))
+    same = F.col("_range") == F.col("_of")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col("_group"))
+    within = laid.withColumns({f"_within{s}": F.sum(s).over(earlier) for s in steps})
+    total = {
+        name: F.coalesce(f"_before_{name}", F.lit(0)) + F.coalesce(f"_within_{name}", F.lit(0)) for name in measures
+    }
+    kept = [F.col(c) for c in df.columns if c not in measures]
+    return within.join(sums, same, "left").select(*kept, *[e.alias(name) for name, e in total.items()])
+
+
 def unfold(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
     """One row per whole number from ``first`` to ``last``, none where the run is empty.
 
@@ -164,12 +201,10 @@ class Numbered:
 def page(df: DataFrame, order: list[str], start: int, limit: int) -> DataFrame:
     """Rows ``start + 1`` to ``start + limit`` in the given order, with their positions.
 
-    The caller holds the cursor ``start``. To turn many pages keep one ``Numbered`` instead.
+    A page among the first ``MOST_ROWS`` of any table; ``paging.PageIndex`` has those further on.
     """
     check_range("limit", limit, 1, 1000)
-    check_range("start", start, 0, float("inf"))
-    if start + limit > SHALLOW_ROWS:
-        return Numbered(df, order).page(start, limit)
+    check_range("start", start, 0, MOST_ROWS - limit)
     keys = [*[F.col(c) for c in order], F.xxhash64(*df.columns)]
     place = Window.orderBy(*keys)
     top = df.orderBy(*keys).limit(start + limit)

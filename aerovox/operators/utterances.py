@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from aerovox.functions import word_count
+from aerovox.operators.sequence import prefix_sums
 from aerovox.schemas import UTTERANCE, UTTERANCE_RAW
 
 # What stands in for a missing key.
@@ -28,12 +28,6 @@ UTTERANCE_ORDER = ["timestamp", "conversation_id", "utterance_id"]
 SECONDS_PER_WORD = 0.5
 PAUSE_SECONDS = 0.5
 
-# An utterance id is a 32-bit number: blocks of 2^12 ids leave at most 2^19 blocks per
-# conversation, and their sums are two numbers each. A block is also what Spark's window
-# keeps in memory (spark.sql.windowExec.buffer.in.memory.threshold) before it spills.
-BLOCK_IDS = 1 << 12
-
-
 _CORRUPT = "_corrupt"
 
 
@@ -76,38 +70,15 @@ def utterance_timing(turns: DataFrame, pause: float = PAUSE_SECONDS) -> DataFram
     """Adds ``start_time`` and ``end_time`` within the call.
 
     Speaking takes time by the word, and each utterance starts after all earlier ones of its
-    conversation and their pauses. ``(conversation_id, utterance_id)`` is unique.
-
-    The running sum has two levels, within and over blocks of ids, so one endless
-    conversation spreads over many tasks. Utterances without a conversation are one.
+    conversation and their pauses. Utterances of one id follow each other in the order of a hash,
+    equal ones in any order. Those without a conversation are one conversation, those without an
+    id come first. A conversation of any length is a prefix sum over many tasks.
     """
-    timed = turns.withColumns(
-        {
-            "duration": word_count(F.col("text")) * F.lit(SECONDS_PER_WORD),
-            "_block": F.floor(F.col("utterance_id") / BLOCK_IDS),
-        }
-    )
-    step = F.col("duration") + F.lit(pause)
-    before = Window.orderBy("utterance_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = before.partitionBy("conversation_id", "_block")
-    start = F.coalesce(F.sum(step).over(within), F.lit(0.0))
-    earlier = Window.partitionBy("conversation_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        timed.groupBy("conversation_id", "_block")
-        .agg(F.sum(step).alias("_seconds"))
-        .withColumn("_offset", F.sum("_seconds").over(earlier))
-        .where(F.col("_offset").isNotNull())
-        .select(F.col("conversation_id").alias("_call"), F.col("_block").alias("_of"), "_offset")
-    )
-    same = F.col("conversation_id").eqNullSafe(F.col("_call")) & F.col("_block").eqNullSafe(F.col("_of"))
-    timed = timed.join(offsets, same, "left")
-    start = start + F.coalesce(F.col("_offset"), F.lit(0.0))
     added = ["duration", "start_time", "end_time"]
-    return (
-        timed.withColumn("start_time", start)
-        .withColumn("end_time", F.col("start_time") + F.col("duration"))
-        .select(*[c for c in turns.columns if c not in added], *added)
-    )
+    spoken = turns.drop(*added).withColumn("duration", word_count(F.col("text")) * F.lit(SECONDS_PER_WORD))
+    step = F.coalesce("duration", F.lit(0.0)) + F.lit(pause)
+    timed = prefix_sums(spoken, "conversation_id", ["utterance_id"], start_time=step)
+    return timed.withColumn("end_time", F.col("start_time") + F.col("duration"))
 
 
 def conversation(utterances: DataFrame, conversation_id: str) -> DataFrame:

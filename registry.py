@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import fixtures
 from aerovox import sources, streaming
-from aerovox.operators import bitmaps, explore, flights, polls, progress, quality, sequence, stats, utterances
+from aerovox.operators import bitmaps, explore, flights, paging, polls, progress, quality, sequence, stats, utterances
 from aerovox.plans import VIEWS
 from aerovox.schemas import FLIGHT, FLIGHT_API
 from aerovox.session import scratch_path, store
@@ -497,8 +497,12 @@ def _(spark, sf_dir):
 
 @query("utterances_page_numbered", f"SELECT * FROM ({_NUMBERED}) WHERE position BETWEEN 41 AND 1040")
 def _(spark, sf_dir):
-    numbered = sequence.Numbered(fixtures.utterances(spark, sf_dir), utterances.UTTERANCE_ORDER)
-    return numbered.page(start=40, limit=1000)
+    rows = fixtures.utterances(spark, sf_dir)
+    index = paging.PageIndex(scratch_path(spark, "pages"), rows.schema, tuple(utterances.UTTERANCE_ORDER))
+    half = F.pmod(F.xxhash64("conversation_id", "utterance_id"), F.lit(2)) == 0
+    index.append(rows.where(half))
+    index.append(rows.where(~half))
+    return index.page(spark, start=40, limit=1000)
 
 
 @query(

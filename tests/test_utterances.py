@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import after, lines_of, utterances_at
 
 from aerovox.functions import word_count
@@ -71,9 +72,7 @@ def timed_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 16, 4])
-def test_timing(spark, block, monkeypatch):
-    monkeypatch.setattr(utterances, "BLOCK_IDS", block)
+def test_timing(spark):
     chance = random.Random(2)
     rows = [("hot", i, "w " * chance.randrange(5)) for i in range(40)]
     rows += [(f"c{c}", i, "w " * chance.randrange(5)) for c in range(5) for i in range(c)]
@@ -81,11 +80,27 @@ def test_timing(spark, block, monkeypatch):
     assert {(r.conversation_id, r.utterance_id): (r.start_time, r.end_time) for r in got} == timed_by_hand(rows)
 
 
-def test_timing_spreads_one_conversation(spark, monkeypatch):
-    monkeypatch.setattr(utterances, "BLOCK_IDS", 4)
-    plan = utterances.utterance_timing(turns(spark, [("hot", i, "w") for i in range(9)]))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(conversation_id" in text and "_block" in text
+@pytest.fixture
+def small_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_timing_spreads_one_id(spark, small_tasks):
+    """A conversation of one id, and one of equal rows, are each dealt to several tasks."""
+    rows = turns(spark, [("unknown", 0, "w " * (i % 7)) for i in range(4000)])
+    for said in (rows, rows.withColumn("text", F.lit("w w"))):
+        timed = utterances.utterance_timing(said)
+        got = timed.select(F.spark_partition_id().alias("task"), "start_time", "end_time").collect()
+        assert len({r.task for r in got}) >= 2
+        ordered = sorted((r.start_time, r.end_time) for r in got)
+        # Each starts half a second after the one before has ended.
+        assert ordered[0][0] == 0.0 and all(b[0] == a[1] + 0.5 for a, b in zip(ordered, ordered[1:]))
+
+
+def test_timing_of_nothing(spark):
+    assert utterances.utterance_timing(turns(spark, [("a", 1, "x")]).where("false")).count() == 0
 
 
 def test_served_rows_carry_the_present(spark):
