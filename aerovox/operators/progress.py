@@ -74,13 +74,22 @@ def sample_chunks(chunks: DataFrame, every: int = 10, head: int = 5) -> DataFram
     return chunks.where((F.col("chunk_number") % every == 0) | (F.col("chunk_number") <= head))
 
 
-def chunk_envelopes(utterances: DataFrame, chunk_size: int = 100) -> DataFrame:
-    """Each chunk as JSON text with its utterances in order. A chunk is at most 10,000 rows."""
-    _check(chunk_size, 0)
+def chunk_envelopes(utterances: DataFrame, chunk_size: int = 100, total_utterances: int = 0) -> DataFrame:
+    """Each chunk as JSON text: its utterances in order, the time of the last, and how far the replay
+    has come. A chunk is at most 10,000 rows.
+
+    ``total_utterances`` ends the replay early; only then is the end known beforehand and the JSON
+    has ``progress``. A replay goes by the utterances' own times.
+    """
+    _check(chunk_size, total_utterances)
     numbered = Numbered(utterances, UTTERANCE_ORDER)
     end = F.col("position") + F.col("copies") - 1
+    if total_utterances:
+        end = F.least(end, F.lit(total_utterances))
     first, last = (F.floor((at - 1) / chunk_size) + 1 for at in (F.col("position"), end))
-    parts = unfold(numbered.rows, first, last, "chunk_number")
+    # What is behind the end has an empty run of chunks.
+    wanted = numbered.rows.where(F.col("position") <= end)
+    parts = unfold(wanted, first, last, "chunk_number")
     low = F.greatest(F.col("position"), (F.col("chunk_number") - 1) * chunk_size + 1)
     high = F.least(end, F.col("chunk_number") * chunk_size)
     part = F.struct(
@@ -88,26 +97,27 @@ def chunk_envelopes(utterances: DataFrame, chunk_size: int = 100) -> DataFrame:
         (high - low + 1).cast("int").alias("times"),
         F.struct(*[_plain(utterances, c) for c in utterances.columns]).alias("utterance"),
     )
-    sent = (F.col("chunk_number") - 1) * chunk_size + F.size("utterances")
     ordered = F.sort_array(F.collect_list(part))
     repeated = F.flatten(F.transform(ordered, lambda p: F.array_repeat(p["utterance"], p["times"])))
-    return (
-        parts.groupBy("chunk_number")
-        .agg(repeated.alias("utterances"))
-        .select(
-            "chunk_number",
-            F.size("utterances").cast("long").alias("chunk_size"),
-            sent.alias("total_sent"),
-            F.to_json(
-                F.struct(
-                    "chunk_number",
-                    F.size("utterances").alias("chunk_size"),
-                    "utterances",
-                    F.struct(sent.alias("total_sent")).alias("stats"),
-                ),
-                {"ignoreNullFields": "false"},
-            ).alias("envelope"),
-        )
+    chunks = parts.groupBy("chunk_number").agg(repeated.alias("utterances"), F.max("timestamp").alias("timestamp"))
+    reports = chunk_progress(utterances, chunk_size, total_utterances)
+    stats = ("total_sent", "elapsed_seconds", "throughput", "throughput_description")
+    fields = [
+        F.date_format("timestamp", ISO_UTC).alias("timestamp"),
+        "chunk_number",
+        "chunk_size",
+        "utterances",
+        F.struct(*stats).alias("stats"),
+    ]
+    if total_utterances:
+        total = F.lit(total_utterances).cast("long").alias("total")
+        percent = F.round(F.col("total_sent") / total_utterances * 100, 2).alias("percent")
+        fields.append(F.struct(F.col("total_sent").alias("sent"), total, percent).alias("progress"))
+    return chunks.join(reports, "chunk_number").select(
+        "chunk_number",
+        "chunk_size",
+        "total_sent",
+        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("envelope"),
     )
 
 

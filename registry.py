@@ -616,7 +616,8 @@ def _(spark, sf_dir):
 # --- replay in chunks -----------------------------------------------------------------------
 
 
-def _chunks(size: int) -> str:
+def _chunks(size: int, total: int | None = None) -> str:
+    numbered = _NUMBERED if total is None else f"SELECT * FROM ({_NUMBERED}) WHERE position <= {total}"
     return f"""(
       SELECT chunk_number, chunk_size, total_sent, round(total_sent / everything * 100, 2) AS percent,
         round(elapsed, 2) AS elapsed_seconds,
@@ -629,7 +630,7 @@ def _chunks(size: int) -> str:
         FROM (
           SELECT CAST((position - 1) // {size} + 1 AS BIGINT) AS chunk_number, count(*) AS n,
             min(timestamp) AS begins, max(timestamp) AS ends
-          FROM ({_NUMBERED}) GROUP BY 1))))"""
+          FROM ({numbered}) GROUP BY 1))))"""
 
 
 @query("chunk_progress", f"SELECT chunk_number, chunk_size, total_sent, percent FROM {_chunks(20)}")
@@ -660,23 +661,34 @@ def _utterance_json(row: str) -> str:
     return f"json_object('timestamp', strftime({row}timestamp, '%Y-%m-%dT%H:%M:%S+00:00'), {fields})"
 
 
-@query(
-    "chunk_envelope",
-    f"""
+def _chunk_json(size: int, total: int | None = None) -> str:
+    """Chunks with their JSON text, put together key by key."""
+    numbered = _NUMBERED if total is None else f"SELECT * FROM ({_NUMBERED}) WHERE position <= {total}"
+    progress = f""", ',"progress":', CAST(json_object('sent', total_sent, 'total', {total},
+        'percent', round(total_sent / CAST({total} AS DOUBLE) * 100, 2)) AS VARCHAR)"""
+    return f"""
     SELECT chunk_number, chunk_size, total_sent,
-      concat('{{"chunk_number":', chunk_number, ',"chunk_size":', chunk_size, ',"utterances":[', said,
-        '],"stats":{{"total_sent":', total_sent, '}}}}') AS envelope
-    FROM (
-      SELECT CAST((position - 1) // 100 + 1 AS BIGINT) AS chunk_number, count(*) AS chunk_size,
-        max(position) AS total_sent,
+      concat('{{"timestamp":"', said_at, '","chunk_number":', chunk_number, ',"chunk_size":', chunk_size,
+        ',"utterances":[', said, '],"stats":',
+        CAST(json_object('total_sent', total_sent, 'elapsed_seconds', elapsed_seconds, 'throughput', throughput,
+          'throughput_description', throughput_description) AS VARCHAR){progress if total else ""}, '}}') AS envelope
+    FROM {_chunks(size, total)} JOIN (
+      SELECT CAST((position - 1) // {size} + 1 AS BIGINT) AS chunk_number,
+        strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S+00:00') AS said_at,
         string_agg(CAST({_utterance_json("")} AS VARCHAR), ',' ORDER BY position) AS said
-      FROM ({_NUMBERED}) GROUP BY 1)
-    """,
-)
+      FROM ({numbered}) GROUP BY 1) USING (chunk_number)"""
+
+
+@query("chunk_envelope", _chunk_json(100))
 def _(spark, sf_dir):
     return progress.chunk_envelopes(fixtures.utterances(spark, sf_dir), 100)
 
 
+@query("chunk_envelope_bounded", _chunk_json(30, 100))
+def _(spark, sf_dir):
+    return progress.chunk_envelopes(fixtures.utterances(spark, sf_dir), 30, 100)
+
+
 @query(
     "utterance_progress",
     f"""

@@ -163,6 +163,18 @@ def test_chunk_envelopes_hold_every_utterance(spark, unfold, monkeypatch):
     assert [r.chunk_size for r in got.collect()] == [10] * 9 + [5]
 
 
+def test_chunk_envelopes_end_early(spark):
+    """The end falls among equal rows."""
+    rows, pairs = mixed(spark)
+    kind = "timestamp string, utterances array<struct<conversation_id string>>, stats struct<total_sent long>, progress struct<sent long, total long, percent double>"
+    got = progress.chunk_envelopes(rows, 10, 55).orderBy("chunk_number").select("*", F.from_json("envelope", kind).alias("e")).collect()
+    assert [u.conversation_id for r in got for u in r.e.utterances] == sorted_names(pairs)[:55]
+    assert [(r.total_sent, r.e.stats.total_sent, r.e.progress.sent) for r in got] == [(n, n, n) for n in (10, 20, 30, 40, 50, 55)]
+    assert {r.e.progress.total for r in got} == {55} and got[-1].e.progress.percent == 100.0
+    assert got[0].e.timestamp.endswith("+00:00")
+    assert '"progress"' not in progress.chunk_envelopes(rows, 10).first().envelope
+
+
 def test_utterance_progress(spark):
     got = progress.utterance_progress(utterances_at(spark, range(9)), 5).collect()
     assert [r.progress for r in got] == [f"{i}/5" for i in range(1, 6)]
