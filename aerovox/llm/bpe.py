@@ -15,6 +15,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,18 @@ from aerovox.session import store
 
 #: Words that the lexicon holds at most.
 LEXICON_WORDS = 1 << 17
-#: Pieces of text and words whose ids a worker remembers.
-PIECES, WORDS = 100_000, 120_000
-#: Words of more bytes than this are merged with a heap.
-SHORT = 48
+#: Pieces of text whose ids a worker remembers, and the characters that such a piece has at most.
+PIECES, PIECE_BYTES = 150_000, 64
+#: Characters of text that are cut into pieces at a time.
+BLOCK = 1 << 20
+#: Words of more bytes than this are merged with a heap, one by one; shorter ones side by side.
+SHORT = 32
+#: Bytes that a word of the lexicon may have.
+LEXICON_BYTES = 64
+
+#: Words that are merged side by side.
+SIDE_BY_SIDE = 4096
+NEVER = 1 << 62
 
 # The vocabulary's way of parting text into words, in the character classes of
 # Unicode 16. White space:
@@ -89,28 +98,70 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
+        # The same as sorted arrays, ending in a pair that there is not.
+        pairs = sorted(self.merges)
+        self.pairs = np.array([*pairs, 1 << 62], dtype=np.int64)
+        self.into = np.array([*[self.merges[p] for p in pairs], NEVER], dtype=np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: of all neighbours that may merge, the pair of the lowest rank does,
         the leftmost of several, until none is left."""
-        ids = [self.bytes[b] for b in word]
-        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get, never = self.merges.get, 1 << 62
-        ranks = [get(a << 32 | b, never) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == never:
+        return self.merge_all([word])[0].tolist()
+
+    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, as ``merge`` has them."""
+        found: list[np.ndarray | None] = [None] * len(words)
+        # Words of about one length side by side, so that few places stay empty.
+        order = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+        for low in range(0, len(order), SIDE_BY_SIDE):
+            some = order[low : low + SIDE_BY_SIDE]
+            for i, ids in zip(some, self._merge_short([words[i] for i in some]), strict=True):
+                found[i] = ids
+        for i, word in enumerate(words):
+            if found[i] is None:
+                found[i] = np.array(self._merge_long([self.bytes[b] for b in word]), dtype="<u4")
+        return found
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and result of merging each pair, ``NEVER`` where it does not; b < 0 is no neighbour."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((b >= 0) & (self.pairs[at] == pair), self.into[at], NEVER)
+
+    def _merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+        """All words take a step at a time; a row ends in -1."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        width = int(lengths.max(initial=0)) + 1
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ids = np.full((len(words), width), -1, dtype=np.int64)
+        ids[np.arange(width) < lengths[:, None]] = np.array(self.bytes, dtype=np.int64)[data]
+        done: list[np.ndarray | None] = [None] * len(words)
+        rows = np.arange(len(words))
+        ranks = self._rank(ids[:, :-1], ids[:, 1:]) if width > 1 else np.zeros((len(words), 0), np.int64)
+        places = np.arange(width)
+        while len(rows):
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            low = ranks[np.arange(len(rows)), best] if ranks.shape[1] else np.full(len(rows), NEVER)
+            over = low == NEVER
+            for r, row in zip(rows[over].tolist(), ids[over].astype("<i4")):
+                done[r] = row[row >= 0].view("<u4")
+            going = ~over
+            rows, ids, ranks, best, low = rows[going], ids[going], ranks[going], best[going], low[going]
+            if not len(rows):
                 break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best & 0xFFFFFFFF]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], never)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 32 | ids[i + 1], never)
-        return ids
+            # The pair becomes one, and all behind it move up.
+            shift = places[:-1] > best[:, None]
+            ids[:, :-1] = np.where(shift, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            n = np.arange(len(rows))
+            ids[n, best] = low & 0xFFFFFFFF
+            ranks[:, :-1] = np.where(shift[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NEVER
+            after = np.minimum(best + 1, width - 1)
+            ranks[n, best] = self._rank(ids[n, best], ids[n, after])
+            before = np.flatnonzero(best)
+            ranks[before, best[before] - 1] = self._rank(ids[before, best[before] - 1], ids[before, best[before]])
+        return done
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.merges.get
@@ -143,64 +194,93 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts to the bytes of little-endian 32-bit ids; remembers pieces between texts."""
+    """Encodes texts to the bytes of little-endian 32-bit ids; remembers short pieces between texts."""
 
     def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon) -> None:
         self.vocabulary, self.lexicon = vocabulary, words
         self.heads: dict[str, bytes] = {}  # pieces without a space in front
         self.tails: dict[str, bytes] = {}  # pieces after a space
-        self.words: dict[str, bytes] = {}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[list[str] | bytes]] = []
-        for text in texts:
-            parts.append([])
+        found: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str | bytes | None, list[str]]] = []
+        size = 0
+        for n, text in enumerate(texts):
             for part in self.special.split(text) if self.special else [text]:
                 if part in self.vocabulary.special:
-                    parts[-1].append(np.array([self.vocabulary.special[part]], dtype="<u4").tobytes())
-                elif part:
-                    parts[-1].append(_PIECES.split(part) if _ODD.search(part) else part.split(" "))
-        self._learn([p for ps in parts for p in ps if isinstance(p, list)])
-        tail = self.tails.__getitem__
-        return [
-            b"".join(
-                p if isinstance(p, bytes) else self.heads[p[0]] + b"".join(map(tail, p[1:])) for p in ps
-            )
-            for ps in parts
-        ]
-
-    def _learn(self, lists: list[list[str]]) -> None:
-        """Ids of all pieces that aren't remembered."""
-        for memory, most in ((self.heads, PIECES), (self.tails, PIECES), (self.words, WORDS)):
-            if len(memory) > most:
-                memory.clear()
-        heads = {p[0] for p in lists}.difference(self.heads)
+                    waiting.append((n, np.array([self.vocabulary.special[part]], dtype="<u4").tobytes(), []))
+                    continue
+                for head, tails, chars in self._cut(part):
+                    waiting.append((n, head, tails))
+                    size += chars
+                    if size >= BLOCK:
+                        self._flush(waiting, found)
+                        size = 0
+        self._flush(waiting, found)
+        return [b"".join(parts) for parts in found]
+
+    def _cut(self, text: str) -> Iterator[tuple[str | None, list[str], int]]:
+        """By blocks: the piece at the beginning of the text, those after a space, and their size."""
+        begin = 0
+        while begin < len(text):
+            end = len(text)
+            if end - begin > BLOCK:
+                # A block ends where a piece does; a text without spaces is one piece.
+                cut = _PIECES.search(text, begin + BLOCK)
+                end = cut.start() if cut else end
+            part = text[begin:end]
+            pieces = _PIECES.split(part) if _ODD.search(part) else part.split(" ")
+            # A later block begins with a space, before which there is nothing.
+            yield pieces[0] if begin == 0 else None, pieces[1:], end - begin
+            begin = end
+
+    def _flush(self, waiting: list, found: list[list[bytes]]) -> None:
+        heads = self._known(self.heads, {h for _, h, _ in waiting if isinstance(h, str)}, "")
         tails: set[str] = set()
-        for p in lists:
-            tails.update(p[1:])
-        tails.difference_update(self.tails)
-        split = [(self.heads, p, WORD.findall(p)) for p in heads]
-        split += [(self.tails, p, WORD.findall(" " + p)) for p in tails]
-        self._learn_words({w for _, _, words in split for w in words}.difference(self.words))
-        get = self.words.__getitem__
-        for memory, piece, words in split:
-            memory[piece] = b"".join(map(get, words))
-
-    def _learn_words(self, words: set[str]) -> None:
+        for _, _, pieces in waiting:
+            tails.update(pieces)
+        tail = self._known(self.tails, tails, " ").__getitem__
+        for n, head, pieces in waiting:
+            if head is not None:
+                found[n].append(head if isinstance(head, bytes) else heads[head])
+            found[n].append(b"".join(map(tail, pieces)))
+        waiting.clear()
+
+    def _known(self, memory: dict[str, bytes], pieces: set[str], front: str) -> dict[str, bytes]:
+        """The ids of at least these pieces with ``front`` before them. As many short ones as there is
+        room for are remembered, the others known for this block only."""
+        new = pieces.difference(memory)
+        if not new:
+            return memory
+        if len(memory) >= PIECES and len(new) > 0.7 * len(pieces):
+            memory.clear()  # the texts have become others
+            new = pieces
+        split = [(p, WORD.findall(front + p)) for p in new]
+        ids = self._words({w for _, words in split for w in words})
+        learned = {p: b"".join([ids[w] for w in words]) for p, words in split}
+        room = PIECES - len(memory)
+        kept = islice((p for p in learned if len(p) <= PIECE_BYTES), max(room, 0))
+        memory.update({p: learned[p] for p in kept})
+        return memory if learned.keys() <= memory.keys() else memory | learned
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
         new = list(words)
         raw = [w.encode() for w in new]
-        for word, data, ids in zip(new, raw, self.lexicon.find(raw), strict=True):
-            if ids is None:
-                ids = np.array(self.vocabulary.merge(data), dtype="<u4")
-            self.words[word] = ids.tobytes()
+        ids = self.lexicon.find(raw)
+        unseen = [i for i, found in enumerate(ids) if found is None]
+        for i, merged in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen]), strict=True):
+            ids[i] = merged
+        return {word: found.tobytes() for word, found in zip(new, ids, strict=True)}
 
 
 def compile_lexicon(df: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
     """Counts the words of all texts, compiles the ``most`` frequent ones and hands the file to the
-    executors. Returns the name under which they find it. Only ``most`` words reach the driver."""
+    executors. Returns the name under which they find it. Only ``most`` words of ``LEXICON_BYTES``
+    bytes each reach the driver."""
     words = df.select(F.explode(F.regexp_extract_all("text", F.lit(_COUNTED), F.lit(0))).alias("w"))
+    words = words.where(F.octet_length("w") <= LEXICON_BYTES)
     counts = words.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     counts = store(counts.withColumn("level", F.floor(F.log2("c") * 32).cast("int")), "word-counts")
     # As many levels of counts from the top as fit; there are few levels, whatever the corpus.
@@ -214,7 +294,8 @@ def compile_lexicon(df: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_W
     frequent = sorted(row.w.encode() for row in top)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    lexicon.save(lexicon.build((w, vocabulary.merge(w)) for w in frequent), path)
+    ids = vocabulary.merge_all(frequent)
+    lexicon.save(lexicon.build((w, i.tolist()) for w, i in zip(frequent, ids, strict=True)), path)
     df.sparkSession.sparkContext.addFile(path)
     return name
 

@@ -9,6 +9,7 @@ classifier scores all texts.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -316,10 +317,17 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE_ROWS) -> Mod
         return fit(Texts.read(pa.array([], pa.string())), np.zeros(0, np.int64))
     picked = spark.createDataFrame([(int(i),) for i in known], "doc_id long")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = found.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text")
-    rows = [(row.doc_id, row.text) for row in found.toLocalIterator()]
-    texts = Texts.read(pa.array([text for _, text in rows], pa.string()))
-    return fit(texts, np.array([known[ident] for ident, _ in rows], dtype=np.int64))
+    found = found.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id")
+    # The bounded sample is fitted on in one task; only the model comes back.
+    found = found.repartition(1).sortWithinPartitions("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(batch.column("doc_id"), batch.column("text")) for batch in batches]
+        marks = np.array([known[i] for ids, _ in rows for i in ids.to_pylist()], dtype=np.int64)
+        texts = Texts.read(pa.concat_arrays([pa.array([], pa.string()), *[text.cast(pa.string()) for _, text in rows]]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(texts, marks)))], pa.binary())], ["model"])
+
+    return Model(**pickle.loads(found.mapInArrow(run, "model binary").first().model))
 
 
 def score(docs: DataFrame, model: Model, *, column: str = "score") -> DataFrame:

@@ -318,7 +318,7 @@ def test_runs_merge(spark):
 # --- BPE ----------------------------------------------------------------------------------
 
 
-def test_encoding_is_the_librarys():
+def test_encoding_is_the_librarys(monkeypatch):
     theirs = Tokenizer.from_file(VOCABULARY)
     ours = bpe.Vocabulary(VOCABULARY)
     frequent = sorted({b" the", b"the", b" then", b" cats", b"a", b" "})
@@ -336,9 +336,19 @@ def test_encoding_is_the_librarys():
     texts += ["ab" * 500, "a" * 777, "".join(rng.choice("abcé") for _ in range(3000)), ""]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(ids, dtype="<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
-    for word in (b"ab" * 10, bytes(range(40))):
-        ids = [ours.bytes[b] for b in word]
-        assert ours._merge_short(list(ids)) == ours._merge_long(list(ids))
+    for block, pieces in ((1, 10), (50, 0), (3000, 10**6)):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        monkeypatch.setattr(bpe, "PIECES", pieces)
+        coder = bpe.Encoder(ours, book)
+        want = [np.array(theirs.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert coder.encode(texts) == want and coder.encode(texts[::-1]) == want[::-1]
+        assert max(len(coder.heads), len(coder.tails)) <= pieces
+    long = "".join(rng.choice("abcdeé") for _ in range(200_000)) + " and " + "word " * 100_000
+    assert np.frombuffer(coder.encode([long])[0], dtype="<u4").tolist() == theirs.encode(long, add_special_tokens=False).ids
+    some = [bytes(rng.choices(range(97, 110), k=rng.randint(0, bpe.SHORT))) for _ in range(3000)] + [b"ab" * 10, bytes(range(32))]
+    monkeypatch.setattr(bpe, "SIDE_BY_SIDE", 700)
+    for word, ids in zip(some, ours.merge_all(some), strict=True):
+        assert ids.tolist() == ours._merge_long([ours.bytes[b] for b in word])
 
 
 def test_lexicon_is_minimal():
