@@ -45,24 +45,33 @@ def unique_flights(flights: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """Per column: values present, distinct values, smallest and largest, as text.
 
-    Columns of one type become narrow (column, value) pairs that combine before the shuffle.
-    Many distinct aggregates side by side would copy the whole row once per column instead.
+    Every row becomes narrow (column, value) pairs, the value in a slot of its own type, and these
+    combine before the shuffle: one scan and two shuffles for any number of columns and types.
     """
-    by_type: dict[str, list[str]] = {}
-    for name, kind in df.dtypes:
-        by_type.setdefault(kind, []).append(name)
-    parts = [
-        df.select(*names)
-        .unpivot([], names, "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count("value").alias("n"))
+    kinds = list(dict.fromkeys(kind for _, kind in df.dtypes))
+    slots = [f"v{i}" for i in range(len(kinds))]
+    pairs = [
+        F.struct(
+            F.lit(name).alias("column"),
+            *[(F.col(f"`{name}`") if own == kind else F.lit(None).cast(kind)).alias(s) for s, kind in zip(slots, kinds)],
+        )
+        for name, own in df.dtypes
+    ]
+    present = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in slots])
+    counted = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("column", *slots).agg(F.count("*").alias("n"))
+    return (
+        counted.withColumn("present", present)
         .groupBy("column")
         .agg(
-            F.sum("n").alias("non_null"),
-            F.count("value").alias("distinct_values"),
-            F.min("value").cast("string").alias("min_value"),
-            F.max("value").cast("string").alias("max_value"),
+            F.sum(F.when(F.col("present"), F.col("n")).otherwise(0)).alias("non_null"),
+            F.count_if("present").alias("distinct_values"),
+            *[F.min(s).alias(f"min_{s}") for s in slots],
+            *[F.max(s).alias(f"max_{s}") for s in slots],
         )
-        for names in by_type.values()
-    ]
-    return reduce(DataFrame.unionAll, parts)
+        .select(
+            "column",
+            "non_null",
+            "distinct_values",
+            *[F.coalesce(*[F.col(f"{end}_{s}").cast("string") for s in slots]).alias(f"{end}_value") for end in ("min", "max")],
+        )
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import fixtures
 from aerovox import sources, streaming
-from aerovox.operators import bitmaps, explore, flights, paging, polls, progress, quality, sequence, stats, utterances
+from aerovox.operators import areas, bitmaps, explore, flights, paging, polls, progress, quality, sequence, stats, utterances
 from aerovox.plans import VIEWS
 from aerovox.schemas import FLIGHT, FLIGHT_API
 from aerovox.session import scratch_path, store
@@ -214,6 +214,30 @@ def _(spark, sf_dir):
     return flights.region_counts(fixtures.flights(spark, sf_dir))
 
 
+_CUSTOMER_BOXES = """
+    SELECT c_custkey AS region, c_custkey * 37 % 170 - 88 AS lamin,
+      c_custkey * 37 % 170 - 88 + c_nationkey * c_nationkey / CAST(5 AS DOUBLE) AS lamax,
+      c_custkey * 53 % 350 - 178 AS lomin, c_custkey * 53 % 350 - 178 + (c_custkey % 41) / CAST(2 AS DOUBLE) AS lomax
+    FROM {}
+    """
+
+
+@query(
+    "flights_area_counts",
+    f"""
+    SELECT region, count(*) AS num_events, count(DISTINCT icao24) AS unique_aircraft
+    FROM flights JOIN ({_CUSTOMER_BOXES.format("customer")}) AS boxes
+    ON latitude BETWEEN lamin AND lamax AND longitude BETWEEN lomin AND lomax
+    GROUP BY region
+    """,
+)
+def _(spark, sf_dir):
+    """A box for each customer: 15,000 at the largest test size, from half a degree to the whole height."""
+    customers = fixtures.table(spark, sf_dir, "customer")
+    boxes = spark.sql(_CUSTOMER_BOXES.format("{customers}"), customers=customers)
+    return areas.area_counts(fixtures.flights(spark, sf_dir), boxes)
+
+
 @query(
     "flights_snapshot",
     f"""

@@ -4,7 +4,7 @@ import pytest
 from helpers import lines_of, poll, state
 from pyspark.sql import functions as F
 
-from aerovox.operators import explore, flights, polls, sequence, stats
+from aerovox.operators import areas, explore, flights, polls, sequence, stats
 from aerovox.regions import REGIONS, region_box
 
 
@@ -118,6 +118,33 @@ def test_profile_keeps_columns_without_values(spark):
     assert got["velocity"] == (0, 0, None, None)
 
 
+def test_areas_contain_what_their_limits_say(spark):
+    import random
+
+    chance = random.Random(5)
+    ends = [None, -90.0, -0.5, 0.0, 12.25, 45.0, 90.0, 95.0, float("inf")]
+    spots = [(i, chance.choice([None, *[chance.uniform(-90, 90) for _ in range(9)]]), chance.choice([None, -180.0, 0.0, chance.uniform(-180, 180)])) for i in range(80)]
+    spots += [(100, 12.25, 12.25), (101, 95.0, 500.0), (102, float("nan"), 0.0)]
+    boxes = []
+    for i in range(60):
+        if i % 3:
+            y, x, size = chance.uniform(-90, 90), chance.uniform(-180, 180), 10 ** chance.uniform(-4, 2)
+            boxes.append((f"b{i % 50}", y, y + size, x, x + size * chance.random()))
+        else:
+            boxes.append((f"b{i}", *[chance.choice(ends) for _ in range(4)]))
+    boxes += [("point", 12.25, 12.25, 12.25, 12.25), ("all", -90.0, 90.0, -180.0, 180.0), ("all", -90.0, 90.0, -180.0, 180.0)]
+    want = sorted(
+        (i, name)
+        for i, y, x in spots
+        for name, a, b, c, d in boxes
+        if None not in (y, x, a, b, c, d) and a <= y <= b and c <= x <= d
+    )
+    positions = spark.createDataFrame(spots, "id int, latitude double, longitude double")
+    table = spark.createDataFrame(boxes, "region string, lamin double, lamax double, lomin double, lomax double")
+    assert sorted(map(tuple, areas.tag_areas(positions, table).select("id", "region").collect())) == want
+    assert areas.tag_areas(positions, table.where("false")).count() == 0
+
+
 def test_dataset_status(spark):
     full, empty = rows_of(spark, state(), state()), rows_of(spark)
     got = stats.dataset_status(full=full, empty=empty).collect()

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import fixtures
-from aerovox.operators import explore, flights, polls, quality, sequence, stats, utterances
+from aerovox.operators import areas, explore, flights, polls, quality, sequence, stats, utterances
 from aerovox.session import store
 
 
@@ -70,6 +70,15 @@ def test_rules_need_one_pass(sky):
 
 def test_profile_reads_each_column_once(sky):
     assert sorted(sum(scanned(explore.profile(sky)), [])) == sorted(sky.columns)
+    text = plan(explore.profile(sky))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 2
+
+
+def test_areas_meet_on_cells(spark, sky):
+    boxes = spark.range(20_000).selectExpr("id AS region", "id % 80 AS lamin", "id % 80 + 1 AS lamax", "id % 170 AS lomin", "id % 170 + 1 AS lomax")
+    text = plan(areas.tag_areas(sky, boxes))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert "Join" in text and "_level" in text
 
 
 @pytest.mark.parametrize("build", [polls.poll_envelopes, polls.poll_labels, polls.flights_from_polls, utterances.parse_utterances])
