@@ -65,6 +65,31 @@ VIEWS = {
 }
 
 
+#: Folders that a view's snapshots take in turn. A reader that planned its query before a refresh
+#: can finish it, if no more than two others follow meanwhile.
+SNAPSHOTS = 3
+
+
+def publish(rows: DataFrame, database: str, name: str) -> None:
+    """Stores ``rows`` as the view ``name``, all at once.
+
+    They are written to a folder that nobody reads, then the view's definition is replaced by one
+    that reads that folder: readers see the old rows or the new ones, also if this fails half way.
+    """
+    spark = rows.sparkSession
+    full = f"{database}.{name}"
+    root = f"{spark.catalog.getDatabase(database).locationUri}/{name}_snapshots"
+    number = 0
+    if spark.catalog.tableExists(full):
+        if spark.catalog.getTable(full).tableType == "VIEW":
+            described = spark.sql(f"DESCRIBE TABLE EXTENDED {full}").where("col_name = 'View Text'").first()
+            number = (int(described.data_type.rstrip("`").rsplit("/", 1)[1]) + 1) % SNAPSHOTS
+        else:  # stored as a table by an earlier release
+            spark.sql(f"DROP TABLE {full}")
+    rows.write.mode("overwrite").parquet(f"{root}/{number}")
+    spark.sql(f"CREATE OR REPLACE VIEW {full} AS SELECT * FROM parquet.`{root}/{number}`")
+
+
 def refresh_view(spark: SparkSession, database: str, name: str, state: str | None = None) -> DataFrame:
     """Stores a view anew and returns it.
 
@@ -79,7 +104,7 @@ def refresh_view(spark: SparkSession, database: str, name: str, state: str | Non
         kept = view.incremental(f"{state}/{name}")
         finish(kept.start(spark.readStream.table(source), f"{state}/{name}-stream"))
         rows = kept.current(spark)
-    rows.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+    publish(rows, database, name)
     return read_view(spark, database, name)
 
 

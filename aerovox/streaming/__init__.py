@@ -14,6 +14,8 @@ from aerovox.streaming.ingest import (
     ingest_rejected_utterances,
     ingest_transcripts,
     resume_point,
+    take_stream,
+    taken,
 )
 from aerovox.streaming.summary import observed_breaches, stream_summary
 
@@ -33,4 +35,6 @@ __all__ = [
     "observed_breaches",
     "resume_point",
     "stream_summary",
+    "take_stream",
+    "taken",
 ]

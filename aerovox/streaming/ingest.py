@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from aerovox.limits import check_range
 from aerovox.operators.polls import rejected_polls
 from aerovox.operators.quality import Rule, enforce, observe
 from aerovox.operators.utterances import rejected_utterances
@@ -89,6 +92,39 @@ def ingest_transcripts(
     return append_stream(_checked(rows, rules), checkpoint, table, path, every)
 
 
+def take_stream(
+    rows: DataFrame, most: int, order: list[str], checkpoint: str, path: str, every: str | None = None
+) -> StreamingQuery:
+    """Appends the batches to the folder ``path`` until it has ``most`` rows, over any number of runs.
+
+    What earlier batches have left open is what a batch may add; the one that goes beyond is cut in
+    ``order``, equal rows by a hash. A batch that comes again counts the same earlier ones and
+    replaces what it wrote, so the rows stay the same. Once full, further batches add nothing;
+    ``taken`` tells when to stop a continuous run. ``most`` rows at most are sorted for a cut.
+    """
+    check_range("most", most, 1, 1_000_000)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        left = most - taken(batch.sparkSession, path, batch_id)
+        if left > 0:
+            cut = batch.orderBy(*order, F.xxhash64(*batch.columns)).limit(left)
+            cut.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return triggered(writer, every).start()
+
+
+def taken(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """Rows that ``take_stream`` has added to a folder, all or those of batches before one."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    return rows.count() if before is None else rows.where(F.col("batch") < before).count()
+
+
 def ingest_rejected_utterances(
     spark: SparkSession,
     landing: str,

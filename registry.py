@@ -749,6 +749,24 @@ def _(spark, sf_dir):
     return spark.read.parquet(table)
 
 
+@query(
+    "transcript_stream_take",
+    "SELECT least(count(*) * 2 // 3, 1000000) AS rows, least(count(*) * 2 // 3, 1000000) AS known FROM utterances",
+)
+def _(spark, sf_dir):
+    """Two thirds of the utterances, in two runs: the first ends after a third of the files."""
+    landing, path, state = _landed_utterances(spark, sf_dir), *(scratch_path(spark, x) for x in ("taken", "checkpoint"))
+    said = sources.read_utterances(spark, landing)
+    most = min(said.count() * 2 // 3, 1_000_000)
+    third = math.ceil(len(spark.read.text(landing).inputFiles()) / 3)
+    for _ in range(2):
+        rows = sources.read_utterance_stream(spark, landing, max_files_per_trigger=third)
+        streaming.finish(streaming.take_stream(rows, most, utterances.UTTERANCE_ORDER, state, path))
+    kept = spark.read.parquet(path)
+    known = kept.select(utterances.UTTERANCE_ORDER).distinct().join(said, utterances.UTTERANCE_ORDER, "left_semi")
+    return known.agg(F.count("*").alias("known")).select(F.lit(kept.count()).cast("long").alias("rows"), "known")
+
+
 @query("flight_format_stream", _VALID_FLIGHTS)
 def _(spark, sf_dir):
     sources.register(spark)

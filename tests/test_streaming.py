@@ -1,5 +1,6 @@
 import json
 import pathlib
+from functools import reduce
 
 import pytest
 from helpers import poll, state
@@ -182,6 +183,50 @@ def test_a_batch_that_comes_again_changes_nothing(spark, folders):
     assert set(map(tuple, kept.current(spark).collect())) == want
 
 
+def test_a_stream_stops_after_n_over_restarts(spark, folders):
+    landing, state_dir, path = folders
+    path += "/taken"
+    order = ["timestamp", "conversation_id"]
+
+    def run():
+        rows = sources.read_utterance_stream(spark, landing, max_files_per_trigger=1)
+        streaming.finish(streaming.take_stream(rows, 13, order, state_dir, path))
+        return sorted(r.conversation_id for r in spark.read.parquet(path).collect())
+
+    assert streaming.taken(spark, path) == 0
+    land(landing, "0.jsonl", *[said(f"a{i}", i) for i in range(6)])
+    assert run() == [f"a{i}" for i in range(6)]
+    land(landing, "1.jsonl", *[said(f"b{i}", 50 - i) for i in range(9)])
+    land(landing, "2.jsonl", *[said(f"c{i}", i) for i in range(9)])
+    # The second file is cut in the order of time.
+    want = sorted([f"a{i}" for i in range(6)] + [f"b{i}" for i in range(8, 1, -1)])
+    assert run() == want and run() == want and streaming.taken(spark, path) == 13
+    # The batch of the cut comes again: it counts what was before it, not what it wrote itself.
+    assert streaming.taken(spark, path, before=1) == 6
+    with pytest.raises(ValueError):
+        streaming.take_stream(spark.readStream.text(landing), 0, order, state_dir, path)
+
+
+def test_a_view_is_never_gone(spark, folders):
+    landing, _, _ = folders
+    land_polls(landing, 0, 2)
+    spark.sql("CREATE DATABASE IF NOT EXISTS steady")
+    rows = sources.read_flights(spark, landing)
+    plans.publish(flight_stats(rows), "steady", "flight_stats")
+    before = plans.read_view(spark, "steady", "flight_stats")
+    broken = flight_stats(rows).withColumn("num_events", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        plans.publish(broken, "steady", "flight_stats")
+    assert plans.read_view(spark, "steady", "flight_stats").first().num_events == 10
+    for doubled in range(1, 3):
+        plans.publish(flight_stats(reduce(type(rows).unionAll, [rows] * 2**doubled)), "steady", "flight_stats")
+        # One planned before still reads what it was planned on; a new one reads the new rows.
+        assert before.first().num_events == 10
+        assert plans.read_view(spark, "steady", "flight_stats").first().num_events == 10 * 2**doubled
+    plans.publish(flight_stats(rows.limit(3)), "steady", "flight_stats")
+    assert plans.read_view(spark, "steady", "flight_stats").first().num_events == 3
+
+
 def test_refresh_flights(spark, folders):
     landing, state_dir, _ = folders
     land_polls(landing, 0, 2)
