@@ -46,7 +46,7 @@ def append_stream(
 
 
 def _checked(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    return enforce(observe(rows, QUALITY_METRICS, *rules), *rules) if rules else rows
+    return enforce(observe(rows, QUALITY_METRICS, *rules), *rules)
 
 
 def ingest_flights(

@@ -68,10 +68,15 @@ def watch(spark: SparkSession, metrics: str) -> StreamTotals:
     return _watching[app]
 
 
-def stream_summary(spark: SparkSession, query: StreamingQuery, unit: str = "utterances") -> DataFrame:
-    """Status, landed lines read, seconds spent and lines per second of this run, as one row."""
+def stream_summary(spark: SparkSession, query: StreamingQuery, unit: str | None = None) -> DataFrame:
+    """Status, total, seconds spent and throughput of this run, as one row.
+
+    With a ``unit``, e.g. utterances, the total is the rows that the stream made of the landed lines,
+    before any rule dropped some; without one, the lines themselves.
+    """
     sums = _totals(spark, query)
-    total, seconds = sums.get(" rows read", 0), sums.get(" milliseconds", 0) / 1000
+    total, seconds = sums.get("rows" if unit else " rows read", 0), sums.get(" milliseconds", 0) / 1000
+    unit = unit or "lines"
     rate = total / seconds if seconds else 0.0
     row = Row(
         status="running" if query.isActive else "complete",

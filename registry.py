@@ -829,3 +829,26 @@ def _(spark, sf_dir):
     return summary.select(
         "status", "total", (F.col("elapsed_seconds") > 0).alias("timed"), (F.col("throughput") > 0).alias("rated")
     )
+
+
+@query(
+    "transcript_stream_summary",
+    """
+    SELECT 'complete' AS status, count(*) AS total, true AS timed, true AS rated, 'utterances/second' AS unit FROM utterances
+    """,
+)
+def _(spark, sf_dir):
+    run = streaming.ingest_transcripts(
+        spark,
+        _landed_utterances(spark, sf_dir),
+        scratch_path(spark, "checkpoint"),
+        path=scratch_path(spark, "transcripts"),
+    )
+    summary = streaming.stream_summary(spark, streaming.finish(run), "utterances")
+    return summary.select(
+        "status",
+        "total",
+        (F.col("elapsed_seconds") > 0).alias("timed"),
+        (F.col("throughput") > 0).alias("rated"),
+        F.element_at(F.split("throughput_description", " "), -1).alias("unit"),
+    )

@@ -69,7 +69,9 @@ def test_summary(spark, folders):
     land_polls(landing, 0, 3)
     query = streaming.finish(streaming.ingest_flights(spark, landing, state_dir, path=table, max_files_per_trigger=1))
     row = streaming.stream_summary(spark, query).first()
-    assert (row.status, row.total) == ("complete", 3)
+    assert (row.status, row.total) == ("complete", 3) and row.throughput_description.endswith(" lines/second")
+    positions = streaming.stream_summary(spark, query, "positions").first()
+    assert positions.total == 15 and positions.throughput_description.endswith(" positions/second")
     assert row.elapsed_seconds > 0 and row.throughput > 0
     assert streaming.resume_point(query) is not None
 
