@@ -17,12 +17,14 @@ from aerovox.streaming.ingest import (
     take_stream,
     taken,
 )
+from aerovox.streaming.packed import PackedTable
 from aerovox.streaming.summary import observed_breaches, stream_summary
 
 __all__ = [
     "POLL_SPACING",
     "QUALITY_METRICS",
     "LiveView",
+    "PackedTable",
     "append_stream",
     "finish",
     "incremental_conversation_stats",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ import fixtures
 from aerovox import sources, streaming
 from aerovox.operators import areas, bitmaps, explore, flights, paging, polls, progress, quality, sequence, stats, utterances
 from aerovox.plans import VIEWS
-from aerovox.schemas import FLIGHT, FLIGHT_API
+from aerovox.schemas import FLIGHT, FLIGHT_API, UTTERANCE
 from aerovox.session import scratch_path, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -749,6 +750,21 @@ def _(spark, sf_dir):
     return spark.read.parquet(table)
 
 
+@query("transcript_stream_packed", _UTTERANCES)
+def _(spark, sf_dir):
+    """Half of the utterances land, are taken in and packed; then the stream goes on with the others."""
+    landing, state = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
+    lines = store(spark.read.text(_landed_utterances(spark, sf_dir)), "utterance-lines")
+    packed = streaming.PackedTable("packed_calls", f"said_{uuid.uuid4().hex[:12]}", UTTERANCE)
+    for half in range(2):
+        lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.text(f"{landing}/{half}")
+        rows = sources.read_utterance_stream(spark, landing)
+        streaming.finish(packed.append(rows, state))
+        if half == 0:
+            packed.pack(spark)
+    return packed.rows(spark)
+
+
 @query(
     "transcript_stream_take",
     "SELECT least(count(*) * 2 // 3, 1000000) AS rows, least(count(*) * 2 // 3, 1000000) AS known FROM utterances",

@@ -10,6 +10,7 @@ from test_sources import land, same
 from aerovox import plans, sources, streaming
 from aerovox.operators import polls, quality
 from aerovox.operators.stats import flight_stats
+from aerovox.schemas import UTTERANCE
 
 
 def land_polls(folder, first, count):
@@ -209,6 +210,38 @@ def test_a_stream_stops_after_n_over_restarts(spark, folders):
         streaming.take_stream(spark.readStream.text(landing), 0, order, state_dir, path)
 
 
+def test_packing_while_the_stream_goes_on(spark, folders):
+    landing, state_dir, _ = folders
+    packed = streaming.PackedTable("packing", "said", UTTERANCE, fanout=2)
+
+    def take(batch, rows):
+        land(landing, f"{batch}.jsonl", *rows)
+        streaming.finish(packed.append(sources.read_utterance_stream(spark, landing, max_files_per_trigger=1), state_dir))
+
+    def names():
+        return sorted(r.conversation_id for r in packed.rows(spark).collect())
+
+    def tables():
+        return {t.name for t in spark.catalog.listTables("packing") if t.name.startswith("said__")}
+
+    want = []
+    for batch in range(5):
+        rows = [f"{batch}-{i}" for i in range(3)]
+        take(batch, [said(r, 1) for r in rows])
+        want += rows
+        planned = packed.rows(spark)
+        assert names() == want
+        packed.pack(spark)
+        assert names() == want
+        # A query planned before the packing still finds its files.
+        assert sorted(r.conversation_id for r in planned.collect()) == want
+        packed.pack(spark)
+        assert names() == want
+    assert tables() >= {"said__2_3", "said__0_4"} and len(tables()) <= 4
+    # Batches that the segments have had for a turn are gone from the table of batches.
+    assert [r.partition for r in spark.sql("SHOW PARTITIONS packing.said_batches").collect()] == ["batch=4"]
+
+
 def test_a_view_is_never_gone(spark, folders):
     landing, _, _ = folders
     land_polls(landing, 0, 2)
