@@ -757,7 +757,7 @@ def _(spark, sf_dir):
     lines = store(spark.read.text(_landed_utterances(spark, sf_dir)), "utterance-lines")
     packed = streaming.PackedTable("packed_calls", f"said_{uuid.uuid4().hex[:12]}", UTTERANCE)
     for half in range(2):
-        lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.text(f"{landing}/{half}")
+        lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.mode("append").text(landing)
         rows = sources.read_utterance_stream(spark, landing)
         streaming.finish(packed.append(rows, state))
         if half == 0:
