@@ -37,7 +37,7 @@ OUTSIDE = frozenset(
     "nav footer aside form button select option input label fieldset menu dialog svg canvas audio video object "
     "applet map head".split()
 ) | RAW
-#: Parts of class names, ids and roles of elements that are never content.
+#: Class names, ids and roles of elements that are never content.
 HINTS = frozenset(
     "ad ads advert advertisement advertising adsense adslot banner banners sponsor sponsored promo promotion "
     "promoted outbrain taboola "
@@ -58,8 +58,6 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
-_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -72,9 +70,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     names: Counter[str] = Counter()
     at = 0
     out = False
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    # From where the last token ended: what is in a raw element is no token, and none begins there.
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()], out
         at = m.end()
@@ -120,9 +117,8 @@ def _never(name: str, attributes: str) -> bool:
     if _HIDDEN.search(attributes):
         return True
     hints = STRONG_HINTS if name in CONTENT else HINTS
-    return any(
-        hints.intersection(_SPLIT.split(_HUMP.sub(" ", value).lower())) for _, value in _NAMED.findall(attributes)
-    )
+    # Whole names: what "has-sidebar" or "entry-header" is called may well be the content.
+    return any(hints.intersection(value.strip("\"'").lower().split()) for _, value in _NAMED.findall(attributes))
 
 
 def _events(page: str) -> list[tuple[str, str, bool, bool]]:
@@ -207,11 +203,6 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def extract(page: str, weights: Weights) -> str:
     """The main text: blocks joined by a line end, white space inside a block as one space."""
     events = _events(page)
-    if any(e[0] == "open" and e[1] in CONTENT and not e[2] for e in events) and any(
-        e[0] == "text" and e[3] and not e[2] and not e[1].isspace() for e in events
-    ):
-        # A page that marks its content: what is outside counts as never content.
-        events = [(k, v, o or not c, c) for k, v, o, c in events]
     low, high = best_run([weights.of(*e) for e in events])
     blocks, parts = [], []
     for kind, value, out, _ in events[low:high]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -372,6 +373,15 @@ def test_round_trip_table(spark, docs, nothing):
 
 # --- extraction ---------------------------------------------------------------------------
 
+
+def test_the_scan_finds_the_borders_without_marks(spark, small):
+    """With the marks of the content renamed, the same text is found on nearly all pages."""
+    pages = [r.html or "" for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    weights = extraction.learn(pages)
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    same = sum(extraction.extract(p, weights) == extraction.extract(q, weights) for p, q in zip(pages, plain, strict=True))
+    assert same >= 0.99 * len(pages)
+
 ARTICLE = (
     "<html><head><title>t</title><style>p{}</style></head><body><nav><a>home</a></nav><div class='ad'>buy this now</div>"
     "<article><h1>Big &amp; small</h1><p>One  two\nthree.<p>Four <b>fi</b>ve.<br>six<div class=comments>no</div>"
@@ -393,6 +403,17 @@ def test_extraction(spark):
     assert extraction.extract("<div><p>just some text here</p></div><nav>menu</nav>", weights) == "just some text here"
     assert extraction.extract("no tags &lt;", weights) == "no tags <"
     assert extraction.extract("<nav>only a menu", weights) == ""
+    # Quotes and comment marks in a script open nothing behind it.
+    for script in ("for(i=0;i<n;i++){} // don't", "var s='<!--'", "if (a<b) x = '<p'"):
+        page = f"<article><script>{script}</script><p>Body.</p><p>it's fine</p></article>"
+        assert extraction.extract(page, weights) == "Body.\nit's fine"
+    # The scan finds the content, wherever an article element stands.
+    body = "<p>" + "One sentence after the other stands here. " * 5 + "</p>"
+    text = ("One sentence after the other stands here. " * 5).strip()
+    teaser = "<article class='card'><p>Read this, too</p></article>"
+    assert extraction.extract(f"<div class='content has-sidebar'>{body}</div>{teaser}", weights) == text
+    titled = f"<article><header class='entry-header'><h1>Title</h1></header>{body}</article>"
+    assert extraction.extract(titled, weights) == "Title\n" + text
     rows = [(1, "u", ARTICLE, "x"), (2, None, None, "x"), (3, "v", "", "x"), (3, "v", "", "x"), (4, "w", "<p>" * 5000 + "deep", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in extraction.main_text(pages).collect()}
