@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from aerovox.llm.common import SPACE, free_name, small_batches
+from aerovox.llm.common import SPACE, small_batches
 from aerovox.session import store
 
 WINDOW = 32
@@ -91,14 +91,17 @@ def exact_duplicates(df: DataFrame, *, carry: tuple[str, ...] = (), id_column: s
 
     Texts are equal if they are after ``normalised``. Of equal ones the row with the smallest id
     stays, a null id counting as the largest; of rows that are alike in id and text exactly one.
-    Null and empty texts are equal to each other and make a group like any other. An empty table
-    gives an empty table.
+    Null and empty texts are equal to each other and make a group like any other. A carried column
+    called like one of the four added is left out, others may have any name. An empty table gives an
+    empty table.
     """
     small_batches(df.sparkSession)
-    row = free_name(df, "_row")
-    carry = tuple(c for c in carry if c != id_column)
+    row, added = "_row", ("keep_id", "group_size", "kept", "text_sha256")
+    # Columns of the input go by number, so that none is called like one of those added here.
+    carry = tuple(c for c in carry if c != id_column and c.lower() not in added)
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     rows = df.select(
-        F.monotonically_increasing_id().alias(row), F.col(id_column), *carry, normalised(F.col("text")).alias("norm")
+        F.monotonically_increasing_id().alias(row), F.col(id_column).alias("id"), *carried, normalised(F.col("text")).alias("norm")
     )
     rows = chunk_recipes(rows).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     # Written once: the row numbers must not change and the chunks are read three times.
@@ -117,13 +120,11 @@ def exact_duplicates(df: DataFrame, *, carry: tuple[str, ...] = (), id_column: s
         F.sort_array(F.collect_list(F.struct("pos", "h", F.coalesce("number", F.lit(0)).alias("number")))).alias("ids")
     )
     ids = ids.select(row, F.transform("ids", lambda x: F.struct(x["h"].alias("h"), x["number"].alias("n"))).alias("ids"))
-    recipes = held.select(row, id_column).join(ids, row)
+    recipes = held.select(row, "id").join(ids, row)
     recipes = store(recipes, "recipe-ids")
     groups = recipes.groupBy("ids").agg(
         F.count("*").alias("group_size"),
-        F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))).alias(
-            "best"
-        ),
+        F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(row).alias("row"))).alias("best"),
     )
     decided = recipes.select(row, "ids").join(groups, "ids").select(
         row,
@@ -131,6 +132,6 @@ def exact_duplicates(df: DataFrame, *, carry: tuple[str, ...] = (), id_column: s
         "group_size",
         (F.col("best.row") == F.col(row)).alias("kept"),
     )
-    return held.select(row, id_column, *carry, "text_sha256").join(decided, row).select(
-        id_column, "keep_id", "group_size", "kept", "text_sha256", *carry
+    return held.drop("chunks").join(decided, row).select(
+        F.col("id").alias(id_column), *added, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerovox.llm.common import free_name, uniform, word_count
+from aerovox.llm.common import uniform, word_count
 from aerovox.session import store
 
 #: Ranks are located by two histograms of this many cells each before any rows are sorted.
@@ -69,16 +69,27 @@ def mix_sources(
 
     A null text has size 0 and never more than its certain copies; null ids and sources are
     values like any other. Rows that are alike in everything may change places. Columns of the
-    input with one of the four names are replaced; an empty table gives an empty table.
+    input with one of the four names are replaced, others may have any name; an empty table gives an
+    empty table.
     """
     size = word_count(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    row = free_name(df, "_row")
-    rows = df.select("*", F.monotonically_increasing_id().alias(row))
+    row = "row"
     mark = F.xxhash64(F.lit(seed), F.col(id_column), F.xxhash64(*df.columns))
     worth = F.lit(1.0) if importance is None else importance.cast("double")
-    # A row number of its own, kept with the row, so that no rerun can deal it anew.
-    held = store(rows.withColumns({"size": size, "_mark": mark, "_worth": worth}), "mix-rows")
-    lean = held.select(row, "source", "size", F.col("_worth").alias("worth"), F.col("_mark").alias("mark"))
+    added = ("size", "source_size", "target", "copies")
+    kept = [c for c in df.columns if c.lower() not in added]
+    # Columns of the input go by number, so that none is called like one of those added here. The row
+    # number is kept with the row, so that no rerun can deal it anew.
+    held = df.select(
+        F.monotonically_increasing_id().alias(row),
+        F.col("source").alias("source"),
+        size.alias("size"),
+        worth.alias("worth"),
+        mark.alias("mark"),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)],
+    )
+    held = store(held, "mix-rows")
+    lean = held.select(row, "source", "size", "worth", "mark")
     sums = lean.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("worth")).alias("worth_size")
     )
@@ -105,9 +116,9 @@ def mix_sources(
     decided = docs.select(row, "whole").join(taken.select(row, F.lit(1).alias("extra")), row, "left")
     copies = (F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))).alias("copies")
     sized = _with_source(held, targets.select("source", "source_size", "target"))
-    added = ("size", "source_size", "target", "copies")
-    kept = [c for c in df.columns if c.lower() not in added]
-    return sized.join(decided.select(row, copies), row).select(*kept, *added)
+    return sized.join(decided.select(row, copies), row).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *added
+    )
 
 
 def _with_source(df: DataFrame, targets: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerovox.llm.common import free_name
 from aerovox.session import store
 
 #: Rows of one sorting bucket inside a shard, on average.
@@ -29,15 +28,18 @@ def shuffle_into_shards(df: DataFrame, shards: int, *, key: str = "doc_id", seed
     partition, ``seed`` and ``shards`` alone, so a rerun over the same files agrees.
 
     Null and repeated keys are allowed: rows that are alike in all columns may change places. An
-    empty table gives an empty table. Columns ``shard`` and ``slot`` of the input are replaced.
+    empty table gives an empty table. Columns ``shard`` and ``slot`` of the input are replaced, others may
+    have any name.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    part, at, mark = (free_name(df, c) for c in ("_part", "_at", "_mark"))
+    names = df.drop("shard", "slot").columns
+    # Columns of the input go by number, so that none is called like one of those added here.
+    df = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    part, at, mark = "_part", "_at", "_mark"
     placed = (
-        df.withColumn(mark, F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(*df.columns)))
+        df.withColumn(mark, F.xxhash64(F.lit(seed), F.col(f"c{names.index(key)}"), F.xxhash64(*df.columns)))
         .withColumn(part, F.spark_partition_id())
         .sortWithinPartitions(mark)
         .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -59,7 +61,11 @@ def shuffle_into_shards(df: DataFrame, shards: int, *, key: str = "doc_id", seed
     return (
         sent.withColumn("_rank", F.row_number().over(order).cast("long"))
         .join(starts, ["shard", "_bucket"])
-        .select(*df.columns, "shard", (F.col("_start") + F.col("_rank") - 1).alias("slot"))
+        .select(
+            *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
+            "shard",
+            (F.col("_start") + F.col("_rank") - 1).alias("slot"),
+        )
     )
 
 
