@@ -35,6 +35,9 @@ COMMON = 64
 ROUNDS = 4
 #: Pivots of a bucket in a round, and how many of those it meets a document is compared with.
 PIVOTS, COMPARED = 8, 2
+#: Rows of a bucket from which its vertices are compared by their differences from a pivot, and the share
+#: of its own size up to which a vertex that differs from the pivot is close to it.
+LARGE, CLOSE = 64, 0.5
 #: Rows of a narrow table up to which it is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 300_000
 #: Sets that a task remembers, so that it sends repeated ones on once.
@@ -270,7 +273,7 @@ def _united(members: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: i
         labels, found = _unite(labels, pairs, sets, percent)
         if not found:
             break
-    labels, _ = _unite(labels, _rest_pairs(members, prefixes, labels, percent), sets, percent)
+    labels, _ = _unite(labels, _rest_pairs(members, prefixes, sets, labels, percent), sets, percent)
     return labels
 
 
@@ -316,30 +319,107 @@ def _pivot_pairs(members: DataFrame, labels: DataFrame, turn: int, percent: int)
     return near.select(F.col("v").alias("x"), F.explode("b.w").alias("y"))
 
 
-def _rest_pairs(members: DataFrame, prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(
+    members: DataFrame, prefixes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
     """All pairs of different classes that pass the filters of every order.
 
-    In each bucket the largest class stands against the others only, never against itself.
+    In a small bucket they are compared as they are. A large one is mostly a group of near copies that
+    share nearly all tokens; there a vertex is replaced by what tells it from a pivot, the label of the
+    bucket's main class, and only vertices that share a rare difference are compared.
     """
-    rows = store(members.join(labels, "v"), "labelled")
-    parts = rows.groupBy("t", "l").agg(F.count("*").alias("c"))
-    main = parts.groupBy("t").agg(F.max(F.struct("c", "l")).alias("b"), F.count("*").alias("k")).where("k > 1")
-    rows = store(rows.join(main.select("t", F.col("b.l").alias("main")), "t"), "mixed-buckets")
-    few = rows.where("l <> main").select(
-        "t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("need").alias("want")
-    )
-    met = few.join(rows, "t").where(
-        (F.col("lx") != F.col("l"))
-        & ((F.col("l") == F.col("main")) | (F.col("x") < F.col("v")))
-        & _alike(F.col("nx"), F.col("n"), percent)
-    )
-    # The main class differs by bucket and with it the side a vertex stands on, so votes are counted
-    # by the pair, whatever its direction.
-    votes = met.groupBy(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y")).agg(
-        F.count("*").alias("votes"), F.min(F.least("need", "want")).alias("least")
-    )
-    pairs = votes.where(F.col("votes") >= F.col("least")).select("x", "y")
+    rows = _mixed(store(members.join(labels, "v"), "labelled"), "t")
+    large = rows.where((F.col("rows") > LARGE) & (F.col("v") != F.col("main")))
+    apart = _differences(large.select("v", F.col("main").alias("p"), "n", "l").distinct(), sets, percent)
+    # What is close to the pivot, and the pivot itself, is compared by differences only.
+    close = apart.where("close").select(F.col("v").alias("cv"), F.col("p").alias("cp"))
+    far = large.join(close, (F.col("v") == F.col("cv")) & (F.col("main") == F.col("cp")), "left_anti")
+    met = _unlike(rows.where(F.col("rows") <= LARGE).unionByName(far), percent, "t")
+    votes = met.groupBy("x", "y").agg(F.count("*").alias("votes"), F.min("need").alias("least"))
+    plain = votes.where(F.col("votes") >= F.col("least")).select("x", "y")
+    r = (100 - percent) / (100 + percent)
+    direct = apart.where((F.col("l") != F.col("p")) & (F.col("d") <= F.lit(r + 1e-9) * (F.col("n") + F.col("m"))))
+    direct = direct.select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y"))
+    pairs = plain.unionByName(_by_differences(apart, percent)).unionByName(direct).distinct()
     x = prefixes.select(F.col("v").alias("x"), F.col("r2").alias("x2"), F.col("r3").alias("x3"))
     y = prefixes.select(F.col("v").alias("y"), F.col("r2").alias("y2"), F.col("r3").alias("y3"))
     filtered = pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
     return filtered.select("x", "y")
+
+
+def _mixed(rows: DataFrame, *bucket: str) -> DataFrame:
+    """The rows (with ``v`` and ``l``) of buckets of several classes, with the largest class ``main`` and
+    the number of ``rows``."""
+    parts = rows.groupBy(*bucket, "l").agg(F.count("*").alias("c"))
+    main = parts.groupBy(*bucket).agg(
+        F.max(F.struct("c", "l")).alias("b"), F.count("*").alias("k"), F.sum("c").alias("rows")
+    )
+    main = main.where("k > 1").select(*bucket, F.col("b.l").alias("main"), "rows")
+    return store(rows.join(main, list(bucket)), "mixed-buckets")
+
+
+def _unlike(rows: DataFrame, percent: int, *bucket: str) -> DataFrame:
+    """The pairs x < y of different classes and possible sizes in each bucket, and what they need.
+
+    The largest class stands against the others only, never against itself. Which one that is
+    differs by bucket and with it the side a vertex stands on, so pairs are given in order.
+    """
+    few = rows.where("l <> main").select(
+        *bucket, F.col("v").alias("w"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("need").alias("want")
+    )
+    met = few.join(rows, list(bucket)).where(
+        (F.col("k") != F.col("l"))
+        & ((F.col("l") == F.col("main")) | (F.col("w") < F.col("v")))
+        & _alike(F.col("m"), F.col("n"), percent)
+    )
+    return met.select(F.least("w", "v").alias("x"), F.greatest("w", "v").alias("y"), F.least("need", "want").alias("need"))
+
+
+def _differences(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``vertices`` (v, p, n, l) near their pivots p: size ``m`` of the pivot's set, the tokens ``diff`` of
+    one of both only, their number ``d``, and whether v is ``close`` to p.
+
+    A link has |x - y| <= q * |x| differing tokens, and |y - p| <= |y - x| + |x - p|. So whatever links with a close
+    vertex is near, and two vertices that are not close are left to the buckets.
+    """
+    q = (100 - percent) / percent
+    near = (CLOSE + q) * 100 / percent + 1e-9
+    pivots = sets.select(F.col("v").alias("p"), F.col("n").alias("m"), F.col("tokens").alias("tp"))
+    # The pivots' sets go to the vertices, whose own sets lie where they are.
+    told = vertices.join(pivots, "p").join(sets.select("v", "tokens"), "v")
+    # A token that only the pivot has is told from one that only the vertex has.
+    lacks = F.transform(F.array_except("tp", "tokens"), lambda t: F.xxhash64(t))
+    told = told.withColumn("diff", F.concat(F.array_except("tokens", "tp"), lacks))
+    told = told.select("v", "p", "n", "l", "m", "diff", F.size("diff").cast("long").alias("d"))
+    told = told.where(F.col("d") <= F.lit(near) * F.col("n"))
+    return store(told.withColumn("close", F.col("d") <= F.lit(CLOSE) * F.col("n")), "differences")
+
+
+def _by_differences(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different classes, one of them close to a pivot that both are near to, that share
+    one of the rarest differences from it.
+
+    Two sets share c = (dx + dy - |x - y|) / 2 differences, and dy >= dx - |x - y|, so c >= dx - q * nx: one of the
+    first floor(q * nx) + 1 of x and one of those of y is the same. Two vertices for which that bound is
+    not positive link with the pivot both and are in one class by then.
+    """
+    first = F.floor(F.lit((100 - percent) / percent + 1e-9) * F.col("n")) + 1
+    tokens = apart.select("v", "p", "n", "l", "d", "close", F.explode("diff").alias("t"))
+    several = tokens.groupBy("p", "t").agg(F.count("*").alias("c")).where("c > 1")
+    order, whole = Window.partitionBy("v", "p").orderBy("c", "t"), Window.partitionBy("v", "p")
+    # Differences that nobody else has come first and are left out.
+    ranked = tokens.join(several, ["p", "t"]).withColumns(
+        {"place": F.row_number().over(order), "shared": F.count("*").over(whole)}
+    )
+    kept = ranked.where(F.col("place") + F.col("d") - F.col("shared") <= first)
+    rows = _mixed(kept.select("p", "t", "v", "n", "l", F.col("close").cast("int").alias("need")), "p", "t")
+    few = rows.where("l <> main").select(
+        "p", "t", F.col("v").alias("w"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("need").alias("want")
+    )
+    met = few.join(rows, ["p", "t"]).where(
+        (F.col("k") != F.col("l"))
+        & ((F.col("l") == F.col("main")) | (F.col("w") < F.col("v")))
+        & (F.col("need") + F.col("want") > 0)
+        & _alike(F.col("m"), F.col("n"), percent)
+    )
+    return met.select(F.least("w", "v").alias("x"), F.greatest("w", "v").alias("y")).distinct()

@@ -165,9 +165,11 @@ def brute_classes(texts):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("common", [64, 3])
-def test_ngram_classes(spark, docs, nothing, monkeypatch, common):
+@pytest.mark.parametrize("common, large, rounds", [(64, 64, 4), (3, 1, 4), (64, 1, 0)])
+def test_ngram_classes(spark, docs, nothing, monkeypatch, common, large, rounds):
     monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     rng = random.Random(5)
     texts = dict(enumerate(TEXTS))
     base = [f"w{rng.randint(0, 300)}" for _ in range(120)]
@@ -194,7 +196,8 @@ def test_rest_pairs_count_votes_of_both_directions(spark):
     members = spark.createDataFrame(rows, "t long, v long, n long, need long")
     labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (3, 2)], "v long, l long")
     prefixes = spark.createDataFrame([(v, [7], [8]) for v in range(1, 5)], "v long, r2 array<long>, r3 array<long>")
-    pairs = ngram_join._rest_pairs(members, prefixes, labels, 80).collect()
+    sets = spark.createDataFrame([(v, 10, list(range(10))) for v in range(1, 5)], "v long, n long, tokens array<long>")
+    pairs = ngram_join._rest_pairs(members, prefixes, sets, labels, 80).collect()
     assert [(r.x, r.y) for r in pairs] == [(1, 2)]
 
 
