@@ -219,12 +219,12 @@ def page_after(df: DataFrame, order: list[str], after: tuple | None, limit: int)
     Every row has its own ``cursor``: its keys, a hash of the row, and which of the equal rows it
     is. That of the last row leads to the next page, so a walk serves each row once, whatever
     repeats. The keys alone are a cursor behind all rows that have them. Nulls come first. A page
-    costs one pruned top-k, which holds the equal rows served before as well.
+    costs one pruned top-k of ``limit`` rows; the equal rows that the cursor stands among are counted.
     """
     check_range("limit", limit, 1, 1000)
     keys = [*order, "_mark"]
     rows = df.withColumn("_mark", F.xxhash64(*df.columns))
-    served, equal = 0, F.lit(False)
+    served = 0
     if after is not None:
         values = list(after)
         if len(values) == len(keys) + 1:
@@ -236,11 +236,12 @@ def page_after(df: DataFrame, order: list[str], after: tuple | None, limit: int)
             equal = equal & (F.col(name).isNull() if missing else F.col(name).eqNullSafe(F.lit(value)))
         if values[0] is not None:  # this one reaches the scan
             rows = rows.where(F.col(order[0]) >= F.lit(values[0]))
-        rows = rows.where(beyond | equal if served else beyond)
-    top = rows.orderBy(*keys).limit(limit + served)
+        among, rows = rows.where(equal), rows.where(beyond)
     copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    top = top.withColumn("_copy", copy.cast("long"))
+    top = rows.orderBy(*keys).limit(limit).withColumn("_copy", copy.cast("long"))
     if served:
-        top = top.where(~equal | (F.col("_copy") > served))
+        left = F.sequence(F.lit(served + 1).cast("long"), F.least("_n", F.lit(served + limit)))
+        again = among.groupBy(*among.columns).agg(F.count("*").alias("_n")).where(F.col("_n") > served)
+        top = top.unionByName(again.withColumn("_copy", F.explode(left)).drop("_n"))
     cursor = F.struct(*keys, "_copy").alias("cursor")
     return top.orderBy(*keys, "_copy").limit(limit).select(*df.columns, cursor)
