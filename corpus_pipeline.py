@@ -36,15 +36,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the one of the smallest id stays, a null id being the largest; of
     rows that share it, one."""
     numbered, named = _numbered(docs, "doc_id", "text")
-    found = exact_dedup.exact_duplicates(numbered, carry=tuple(numbered.columns))
-    return found.where("kept").select(*named)
+    # Only the numbers of rows go through the operator, not the documents. A stage reads a written
+    # table, so a row has the same number whenever it is read.
+    numbered = numbered.withColumn("row", F.monotonically_increasing_id())
+    found = exact_dedup.exact_duplicates(numbered.select("doc_id", "text", "row"), carry=("row",))
+    gone = store(found.where("not kept").select("row"), "copies")
+    return numbered.join(gone, "row", "left_anti").select(*named)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row of the smallest id stays, a null id being the largest; of
     rows that share it, one. Documents without words are near copies of nothing."""
-    # Rows are told apart by number, as ids may be missing or shared. A stage reads a written table,
-    # so a row has the same number whenever it is read.
+    # Rows are told apart by number, as ids may be missing or shared.
     numbered, named = _numbered(docs, "doc_id", "text")
     numbered = numbered.withColumn("row", F.monotonically_increasing_id())
     classes = ngram_join.ngram_classes(numbered.select("row", "text"), id_column="row")
