@@ -145,6 +145,46 @@ def test_areas_contain_what_their_limits_say(spark):
     assert areas.tag_areas(positions, table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("boxes_of", "spots_of", "small"), [(1024, 1 << 17, 362 / 64), (3, 1 << 17, 0.0), (1024, 10, 0.0)])
+def test_area_counts_without_pairs(spark, monkeypatch, boxes_of, spots_of, small):
+    """All ways of counting agree with brute force, and large boxes make no row for each pair."""
+    chance = random.Random(7)
+    for name, value in {"MANY_BOXES": boxes_of, "MANY_POSITIONS": spots_of, "SMALL": small, "PART_BOXES": 20, "PART_POSITIONS": 150, "OFTEN": 6}.items():
+        monkeypatch.setattr(areas, name, value)
+    numbers = [None, -180.0, -90.0, 0.0, 12.25, 90.0, float("nan"), float("inf")]
+
+    def number(low, high):
+        return chance.choice(numbers) if chance.random() < 0.2 else chance.uniform(low, high)
+
+    spots = [(chance.choice([None, *"abcdefgggggggg"]), number(-90, 90), number(-180, 180)) for _ in range(400)]
+    spots += spots[:20]
+    boxes = []
+    for _ in range(120):
+        south, west = number(-90, 90), number(-180, 180)
+        height, width = (10 ** chance.uniform(-2, 2.2) for _ in range(2))
+        name = chance.choice([None, *range(80)])
+        boxes.append((name, south, None if south is None else south + height, west, None if west is None else west + width))
+    boxes += boxes[:10]
+
+    def between(x, low, high):
+        order = [(v != v, 0.0 if v != v else v) for v in (low, x, high)]
+        return order == sorted(order)
+
+    want = {}
+    for name, a, b, c, d in boxes:
+        for aircraft, y, x in spots:
+            if None not in (a, b, c, d, y, x) and between(y, a, b) and between(x, c, d):
+                want.setdefault(name, []).append(aircraft)
+    want = {name: (len(v), len(set(v) - {None})) for name, v in want.items()}
+    positions = spark.createDataFrame(spots, "icao24 string, latitude double, longitude double")
+    table = spark.createDataFrame(boxes, "region int, lamin double, lamax double, lomin double, lomax double")
+    counts = areas.area_counts(positions, table)
+    assert {r.region: (r.num_events, r.unique_aircraft) for r in counts.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in counts._jdf.queryExecution().toString()
+    assert areas.area_counts(positions, table.where("false")).count() == 0
+    assert areas.area_counts(positions.where("false"), table).count() == 0
+
+
 def test_dataset_status(spark):
     full, empty = rows_of(spark, state(), state()), rows_of(spark)
     got = stats.dataset_status(full=full, empty=empty).collect()
