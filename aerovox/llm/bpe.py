@@ -15,7 +15,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,10 @@ WORD = regex.compile(
     rf"| ?[[^{WHITE}\p{{L}}\p{{N}}]||[{NEWER}]]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+",
     regex.V1,
 )
+# The same for texts in ASCII, where the library for it is faster.
+ASCII_WORD = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
+)
 # The same but for rare characters, for counting words in Spark.
 _COUNTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -143,8 +147,11 @@ class Vocabulary:
             best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
             low = ranks[np.arange(len(rows)), best] if ranks.shape[1] else np.full(len(rows), NEVER)
             over = low == NEVER
-            for r, row in zip(rows[over].tolist(), ids[over].astype("<i4")):
-                done[r] = row[row >= 0].view("<u4")
+            ended = ids[over]
+            there = ended >= 0
+            flat, ends = ended[there].astype("<u4"), np.cumsum(there.sum(axis=1)).tolist()
+            for r, a, b in zip(rows[over].tolist(), [0, *ends], ends, strict=False):
+                done[r] = flat[a:b]
             going = ~over
             rows, ids, ranks, best, low = rows[going], ids[going], ranks[going], best[going], low[going]
             if not len(rows):
@@ -257,13 +264,14 @@ class Encoder:
         if len(memory) >= PIECES and len(new) > 0.7 * len(pieces):
             memory.clear()  # the texts have become others
             new = pieces
-        split = [(p, WORD.findall(front + p)) for p in new]
-        ids = self._words({w for _, words in split for w in words})
-        learned = {p: b"".join([ids[w] for w in words]) for p, words in split}
+        new, ascii_words, words_of = list(new), ASCII_WORD.findall, WORD.findall
+        split = [ascii_words(front + p) if p.isascii() else words_of(front + p) for p in new]
+        ids = self._words(set(chain.from_iterable(split))).__getitem__
+        learned = dict(zip(new, [b"".join(map(ids, words)) for words in split], strict=True))
         room = PIECES - len(memory)
-        kept = islice((p for p in learned if len(p) <= PIECE_BYTES), max(room, 0))
+        kept = list(islice((p for p in learned if len(p) <= PIECE_BYTES), max(room, 0)))
         memory.update({p: learned[p] for p in kept})
-        return memory if learned.keys() <= memory.keys() else memory | learned
+        return memory if len(kept) == len(learned) else memory | learned
 
     def _words(self, words: set[str]) -> dict[str, bytes]:
         new = list(words)
@@ -279,9 +287,11 @@ def compile_lexicon(df: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_W
     """Counts the words of all texts, compiles the ``most`` frequent ones and hands the file to the
     executors. Returns the name under which they find it. Only ``most`` words of ``LEXICON_BYTES``
     bytes each reach the driver."""
-    words = df.select(F.explode(F.regexp_extract_all("text", F.lit(_COUNTED), F.lit(0))).alias("w"))
-    words = words.where(F.octet_length("w") <= LEXICON_BYTES)
-    counts = words.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    # What stands between spaces is counted first, so that each is cut into words once.
+    pieces = df.select(F.explode(F.split("text", " ")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    cut = F.regexp_extract_all(F.concat(F.lit(" "), "p"), F.lit(_COUNTED), F.lit(0))
+    words = pieces.select("n", F.explode(cut).alias("w")).where(F.octet_length("w") <= LEXICON_BYTES)
+    counts = words.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1")
     counts = store(counts.withColumn("level", F.floor(F.log2("c") * 32).cast("int")), "word-counts")
     # As many levels of counts from the top as fit; there are few levels, whatever the corpus.
     levels, room = [], most

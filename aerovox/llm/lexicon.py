@@ -118,8 +118,6 @@ class Lexicon:
             step += 1
             alive = alive[lengths[alive] > step]
         known = (state >= 0) & (self.final[np.maximum(state, 0)] == 1)
-        ends = self.ends
-        return [
-            self.ids[ends[i] : ends[i + 1]] if ok else None
-            for i, ok in zip(number.tolist(), known.tolist(), strict=True)
-        ]
+        ids, number = self.ids, np.where(known, number, 0)
+        begins, ends = self.ends[number].tolist(), self.ends[number + 1].tolist()
+        return [ids[a:b] if ok else None for a, b, ok in zip(begins, ends, known.tolist(), strict=True)]

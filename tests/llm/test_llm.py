@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -355,6 +356,21 @@ def test_encoding_is_the_librarys(monkeypatch):
         assert ids.tolist() == ours._merge_long([ours.bytes[b] for b in word])
 
 
+def test_rare_words_of_ascii_pieces(monkeypatch):
+    """Pieces in ASCII are cut by the faster pattern only, and as the other one cuts them."""
+    rng = random.Random(1)
+    parts = [*map(chr, range(128)), "ab", "12", "'s", "'re", "'ll", " ", "  ", "\r\n"]
+    texts = [" " * (k % 2) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for k in range(20_000)]
+    assert all(bpe.ASCII_WORD.findall(t) == bpe.WORD.findall(t) for t in texts)
+    theirs, ours = Tokenizer.from_file(VOCABULARY), bpe.Vocabulary(VOCABULARY)
+    path = f"/tmp/lexicon-test-{random.random()}"
+    lexicon.save(lexicon.build([(b" the", ours.merge(b" the"))]), path)
+    monkeypatch.setattr(bpe, "WORD", SimpleNamespace(findall=None))
+    coder = bpe.Encoder(ours, lexicon.Lexicon(path))
+    for text, ids in zip(texts[:2000], coder.encode(texts[:2000]), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_lexicon_is_minimal():
     entries = [(w.encode(), [k]) for k, w in enumerate(sorted({p + s for p in ("a", "b", "ca") for s in ("", "ing", "ed")}))]
     arrays = lexicon.build(entries)
