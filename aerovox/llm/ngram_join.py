@@ -140,7 +140,7 @@ def ngram_classes(df: DataFrame, *, words: int = 5, percent: int = 80, id_column
     table gives an empty table.
     """
     spark = df.sparkSession
-    small_batches(spark, 4)
+    small_batches(spark, 1)
     docs = df.select(F.col(id_column).cast("long").alias("id"), "text")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     held = store(

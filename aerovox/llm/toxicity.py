@@ -336,7 +336,7 @@ def score(docs: DataFrame, model: Model, *, column: str = "score") -> DataFrame:
     Only the text is looked at. Rows may repeat; other columns stay; ``column`` is replaced; an
     empty table gives an empty table.
     """
-    small_batches(docs.sparkSession, 4)
+    small_batches(docs.sparkSession, 1)
     docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are in memory as 64-bit numbers at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _RANDOM = np.random.default_rng(5)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)

@@ -230,6 +230,19 @@ def test_components(spark):
     assert {got[i] for i in range(2, 41)} == {1} and got[105] == got[103] == 100 and got[559] == 500
 
 
+def test_hashing_words_takes_little_memory():
+    import tracemalloc
+
+    data = np.frombuffer(b"some words of a text " * 150_000, dtype=np.uint8)
+    tracemalloc.start()
+    hashes, before = words.word_hashes(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert before.tolist() == [0, 750_000] and hashes.nbytes == 6_000_000
+    # The hashes and what joins them, and a block's arrays.
+    assert peak < 32 << 20
+
+
 def test_word_hashes_by_blocks(monkeypatch):
     texts = [t or "" for t in TEXTS]
     data, starts = words.text_bytes(pa.array(TEXTS))
