@@ -10,7 +10,8 @@ A group of thousands of near copies has millions of similar pairs, and the class
 enough of them to hang together. So documents of equal sets are one vertex; a few rounds then
 compare each document with those pivots of its buckets that it shares most with and unite what
 is similar; at the end all
-pairs of a bucket that still lie in different classes are compared. No link between two classes is
+pairs of a bucket that still lie in different classes are compared, those of a large bucket in blocks
+and without a row for each pair. No link between two classes is
 lost, and pairs within a class are never listed.
 """
 
@@ -32,12 +33,15 @@ from aerovox.session import scratch_path, store
 #: A token in more sketches than this comes behind all rarer ones in the first order.
 COMMON = 64
 #: Rounds of comparing with pivots of the buckets before the rest is compared in full.
-ROUNDS = 4
+ROUNDS = 2
 #: Pivots of a bucket in a round, and how many of those it meets a document is compared with.
 PIVOTS, COMPARED = 8, 2
 #: Rows of a bucket from which its vertices are compared by their differences from a pivot, and the share
 #: of its own size up to which a vertex that differs from the pivot is close to it.
-LARGE, CLOSE = 64, 0.5
+LARGE, CLOSE = 64, 1.0
+#: Vertices near a pivot, and their differences from it, that a slice has on average; a task compares
+#: two slices at a time. Places where rare differences meet, and columns of frequent ones, in memory at a time.
+SLICE_ROWS, SLICE_TOKENS, INCIDENCES, COLUMNS = 1024, 1 << 17, 1 << 20, 1024
 #: Rows of a narrow table up to which it is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 300_000
 #: Sets that a task remembers, so that it sends repeated ones on once.
@@ -300,17 +304,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pivot_pairs(members: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each vertex the pivots of other classes with which it shares the most tokens."""
-    rows = members.join(labels, "v")
-    one = [
-        F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "v").alias("mark"), *[F.col(c).alias(c) for c in ("v", "n", "need", "l")]))
-        for k in range(PIVOTS)
-    ]
-    pivots = rows.groupBy("t").agg(
-        F.min("l").alias("lo"), F.max("l").alias("hi"), *[m.alias(f"p{k}") for k, m in enumerate(one)]
+    rows = members.join(_small(labels), "v")
+    # The lowest marks of a bucket; each task sends no more than these.
+    order = Window.partitionBy("t").orderBy(F.xxhash64(F.lit(turn), "v"), "v")
+    pivots = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select(
+        "t", F.col("v").alias("w"), F.col("n").alias("m"), F.col("need").alias("want"), F.col("l").alias("k")
     )
-    every = F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("v", "n", "need", "l")]) for k in range(PIVOTS)])
-    pivots = pivots.where("lo <> hi").select("t", F.explode(F.array_distinct(every)).alias("p"))
-    pivots = pivots.select("t", F.col("p.v").alias("w"), F.col("p.n").alias("m"), F.col("p.need").alias("want"), F.col("p.l").alias("k"))
     met = rows.join(pivots, "t").where((F.col("l") != F.col("k")) & _alike(F.col("n"), F.col("m"), percent))
     votes = met.groupBy("v", "w").agg(F.count("*").alias("votes"), F.min(F.least("need", "want")).alias("least"))
     near = votes.where(F.col("votes") >= F.col("least")).groupBy("v").agg(
@@ -326,9 +325,9 @@ def _rest_pairs(
 
     In a small bucket they are compared as they are. A large one is mostly a group of near copies that
     share nearly all tokens; there a vertex is replaced by what tells it from a pivot, the label of the
-    bucket's main class, and only vertices that share a rare difference are compared.
+    bucket's main class, and tasks compare slices of the vertices by these differences.
     """
-    rows = _mixed(store(members.join(labels, "v"), "labelled"), "t")
+    rows = _mixed(store(members.join(_small(labels), "v"), "labelled"), "t")
     large = rows.where((F.col("rows") > LARGE) & (F.col("v") != F.col("main")))
     apart = _differences(large.select("v", F.col("main").alias("p"), "n", "l").distinct(), sets, percent)
     # What is close to the pivot, and the pivot itself, is compared by differences only.
@@ -396,30 +395,102 @@ def _differences(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def _by_differences(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different classes, one of them close to a pivot that both are near to, that share
-    one of the rarest differences from it.
+    """Similar pairs (x, y) of vertices near one pivot: for any two slices of these vertices as many as tie
+    together the classes that links between the slices join.
 
-    Two sets share c = (dx + dy - |x - y|) / 2 differences, and dy >= dx - |x - y|, so c >= dx - q * nx: one of the
-    first floor(q * nx) + 1 of x and one of those of y is the same. Two vertices for which that bound is
-    not positive link with the pivot both and are in one class by then.
+    The sets of x and y differ in dx + dy - 2c tokens, where c differences from the pivot are the same.
     """
-    first = F.floor(F.lit((100 - percent) / percent + 1e-9) * F.col("n")) + 1
-    tokens = apart.select("v", "p", "n", "l", "d", "close", F.explode("diff").alias("t"))
-    several = tokens.groupBy("p", "t").agg(F.count("*").alias("c")).where("c > 1")
-    order, whole = Window.partitionBy("v", "p").orderBy("c", "t"), Window.partitionBy("v", "p")
-    # Differences that nobody else has come first and are left out.
-    ranked = tokens.join(several, ["p", "t"]).withColumns(
-        {"place": F.row_number().over(order), "shared": F.count("*").over(whole)}
+    most = F.greatest(F.ceil(F.count("*") / SLICE_ROWS), F.ceil(F.sum("d") / SLICE_TOKENS), F.lit(1))
+    groups = apart.groupBy("p").agg(most.alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi"))
+    groups = store(groups.where("lo <> hi").select("p", "k"), "slice-counts")
+    dealt = apart.join(groups, "p").withColumn("i", F.pmod(F.xxhash64("v"), F.col("k")))
+    rows = F.collect_list(F.struct("v", "n", "l", "d", "diff")).alias("s")
+    slices = store(
+        dealt.groupBy("p", "i").agg(rows).select("p", "i", "s.v", "s.n", "s.l", "s.d", F.flatten("s.diff").alias("t")),
+        "slices",
     )
-    kept = ranked.where(F.col("place") + F.col("d") - F.col("shared") <= first)
-    rows = _mixed(kept.select("p", "t", "v", "n", "l", F.col("close").cast("int").alias("need")), "p", "t")
-    few = rows.where("l <> main").select(
-        "p", "t", F.col("v").alias("w"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("need").alias("want")
+    both = groups.select("p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("xi"), "k").select(
+        "p", "xi", F.explode(F.sequence("xi", F.col("k") - 1)).alias("yi")
     )
-    met = few.join(rows, ["p", "t"]).where(
-        (F.col("k") != F.col("l"))
-        & ((F.col("l") == F.col("main")) | (F.col("w") < F.col("v")))
-        & (F.col("need") + F.col("want") > 0)
-        & _alike(F.col("m"), F.col("n"), percent)
-    )
-    return met.select(F.least("w", "v").alias("x"), F.greatest("w", "v").alias("y")).distinct()
+    for side in "xy":
+        both = both.join(slices.select("p", *[F.col(c).alias(side + c) for c in ("i", "v", "n", "l", "d", "t")]), ["p", side + "i"])
+    return both.drop("p", "xi", "yi").mapInArrow(_slice_links(percent), "x long, y long").distinct()
+
+
+def _slice_links(percent: int):  # noqa: ANN202
+    """Links (x, y) between the vertices of two slices, none between classes that others join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for r in range(batch.num_rows):
+                x, y = ([batch.column(side + c)[r].values.to_numpy() for c in "vnldt"] for side in "xy")
+                c = _common(x[3], x[4], y[3], y[4])
+                sizes, apart = x[1][:, None] + y[1], x[3][:, None] + y[3]
+                links = (sizes - apart + 2 * c) * (100 + percent) >= 2 * sizes * percent
+                a, b = np.nonzero(links & (x[2][:, None] != y[2]))
+                found += _forest(x[0][a], x[2][a], y[0][b], y[2][b])
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"x": pa.array(ends.min(axis=1)), "y": pa.array(ends.max(axis=1))})
+
+    return run
+
+
+def _common(dx: np.ndarray, tx: np.ndarray, dy: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    """How many tokens each list of one slice shares with each of another; lists of ``dx`` tokens stand
+    one after the other in ``tx``, and none has a token twice."""
+    shape = (len(dx), len(dy))
+    out = np.zeros(shape[0] * shape[1], dtype=np.int64)
+    ox, oy = np.argsort(tx, kind="stable"), np.argsort(ty, kind="stable")
+    ax, ay = np.repeat(np.arange(shape[0]), dx)[ox], np.repeat(np.arange(shape[1]), dy)[oy]
+    ux, sx, cx = np.unique(tx[ox], return_index=True, return_counts=True)
+    uy, sy, cy = np.unique(ty[oy], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    sx, cx, sy, cy = sx[i], cx[i], sy[j], cy[j]
+    # Tokens of many lists by products of matrices, others by listing where they meet.
+    often = np.flatnonzero(cx * cy * COLUMNS >= len(out))
+    for low in range(0, len(often), COLUMNS):
+        k = often[low : low + COLUMNS]
+        out += (_marks(ax, sx[k], cx[k], shape[0]) @ _marks(ay, sy[k], cy[k], shape[1]).T).astype(np.int64).ravel()
+    k = np.flatnonzero(cx * cy * COLUMNS < len(out))
+    sx, cx, sy, cy = sx[k], cx[k], sy[k], cy[k]
+    ends = np.cumsum(cx * cy)
+    low = 0
+    while low < len(ends):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + INCIDENCES, side="right")))
+        many = (cx * cy)[low:high]
+        at = np.arange(int(ends[high - 1]) - before) - np.repeat(ends[low:high] - many - before, many)
+        wide = np.repeat(cy[low:high], many)
+        left = ax[np.repeat(sx[low:high], many) + at // wide]
+        right = ay[np.repeat(sy[low:high], many) + at % wide]
+        out += np.bincount(left * shape[1] + right, minlength=len(out))
+        low = high
+    return out.reshape(shape)
+
+
+def _marks(lists: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """One row for each of ``n`` lists, one column a token, 1 where the list has it."""
+    out = np.zeros((n, len(starts)), dtype=np.float32)
+    at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+    out[lists[at], np.repeat(np.arange(len(starts)), counts)] = 1
+    return out
+
+
+def _forest(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (x, y) those that join classes which the ones before leave apart."""
+    root: dict[int, int] = {}
+
+    def top(l: int) -> int:  # noqa: E741
+        while (up := root.get(l, l)) != l:
+            root[l] = root.get(up, up)
+            l = up  # noqa: E741
+        return l
+
+    kept = []
+    for v, a, w, b in zip(x.tolist(), lx.tolist(), y.tolist(), ly.tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a] = b
+            kept.append((v, w))
+    return kept

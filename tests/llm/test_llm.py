@@ -202,6 +202,40 @@ def test_rest_pairs_count_votes_of_both_directions(spark):
     assert [(r.x, r.y) for r in pairs] == [(1, 2)]
 
 
+@pytest.mark.parametrize("columns", [1024, 1])
+def test_differences_meet_in_blocks_without_a_row_for_each_pair(spark, monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", 32, raising=False)
+    monkeypatch.setattr(ngram_join, "INCIDENCES", 500, raising=False)
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns, raising=False)
+    rng = random.Random(2)
+    pivot, sets = set(range(100)), {}
+    variants = [sorted(rng.sample(range(100), 15)) for _ in range(12)]
+    for v in range(1, 201):  # far from the pivot; near to the same variant, to another's copy by chance, or to nothing
+        lost = set(variants[v % 12] if v % 3 else rng.sample(range(100), 15))
+        lost ^= set(rng.sample(range(100), 2))
+        sets[v] = (pivot - lost) | {1000 * v + k for k in range(rng.randint(0, 9))}
+    diff = {v: [*(s - pivot), *(-1 - t for t in pivot - s)] for v, s in sets.items()}
+    rows = [(v, 0, len(s), v, 100, diff[v], len(diff[v]), True) for v, s in sets.items()]
+    apart = spark.createDataFrame(
+        rows, "v long, p long, n long, l long, m long, diff array<long>, d long, close boolean"
+    )
+    got = [(r.x, r.y) for r in ngram_join._by_differences(apart, 80).collect()]
+    union = lambda x, y: len(sets[x] | sets[y])
+    links = {(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * union(x, y)}
+    assert set(got) <= links and len(links) > 1000
+    # At most one link less than there are vertices for any two of the slices, which are 7.
+    assert len(got) < 7 * 200
+
+    def classes(edges):
+        found = {v: v for v in sets}
+        for _ in sets:
+            for x, y in edges:
+                found[x] = found[y] = min(found[x], found[y])
+        return found
+
+    assert classes(got) == classes(links)
+
+
 def test_ngram_classes_of_repeated_rows(spark, monkeypatch):
     # Every shingle that documents share is common, so prefixes come from whole sets; the rows of a
     # near copy stand in several batches and partitions.
